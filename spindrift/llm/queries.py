@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from spindrift.llm import simhash
+from spindrift.llm import langid, quality, simhash
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op8_langid": langid.op8_langid,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
