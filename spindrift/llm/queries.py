@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spindrift.llm import langid, quality, simhash
+from spindrift.llm import langid, quality, simhash, toxicity
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_langid": langid.op8_langid,
     "op10_quality": quality.op10_quality,
 }
