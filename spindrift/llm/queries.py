@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from spindrift.llm import langid, quality, simhash, toxicity
+from spindrift.llm import langid, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_langid": langid.op8_langid,
