@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import langid, mixing, packing, quality, simhash, toxicity
+from spindrift.llm import langid, mixing, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -10,7 +10,8 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_langid": langid.op8_langid,
+    "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_warc": warc.OP9_SQL}
