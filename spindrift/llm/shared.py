@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.sources.package import ship
+
 #: Rows per Arrow batch are bounded by Spark in bytes as well as in number, so
 #: one batch of very long documents does not outgrow a worker.
 
@@ -50,6 +52,7 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
