@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spindrift.llm import cosine, langid, mixing, packing, quality, simhash, toxicity, warc
+from spindrift.llm import cosine, forest, langid, mixing, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_embedding_dedup": cosine.op5_embedding_dedup,
+    "op6_nearest": forest.op6_nearest,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_langid": langid.op8_langid,
     "op9_warc": warc.op9_warc,
