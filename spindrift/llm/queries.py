@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spindrift.llm import cosine, forest, langid, mixing, packing, quality, simhash, toxicity, warc
+from spindrift.llm import cosine, forest, langid, lattice, mixing, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_lattice": lattice.op1_lattice,
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
