@@ -99,13 +99,15 @@ def decisions(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "page_
     very many copies is spread over all partitions.
     """
     payload = text_bytes(html_col)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    small = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
+    page = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("none"))
+    rows = pages.select(page.alias("page"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    small = pages.select(page.alias("page"), F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
     first = small.groupBy("digest").agg(F.min("page_id").alias("first"))
-    once = small.groupBy("page_id", "digest").agg(F.min("bytes").alias("bytes"))
-    known = once.join(first, "digest").select(F.col("page_id").alias("k_page"), F.col("digest").alias("k_digest"), "first", "bytes")
-    joined = rows.join(known, F.col("page_id").eqNullSafe(F.col("k_page")) & (F.col("digest") == F.col("k_digest")))
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    once = small.groupBy("page", "digest").agg(F.min("bytes").alias("bytes"))
+    known = once.join(first, "digest").select("page", "digest", "first", "bytes")
+    # the window finds the rows where the join left them, so payloads move once
+    joined = rows.join(known, ["page", "digest"])
+    copy = F.row_number().over(Window.partitionBy("page", "digest").orderBy("url"))
     revisit = (F.col("bytes") >= min_bytes) & ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1))
     return joined.withColumn("copy", copy).select("page_id", "url", "payload", "digest", "copy", "first", revisit.alias("revisit"))
 
