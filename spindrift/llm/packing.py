@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -76,21 +77,56 @@ class Placer:
         return hilbert_key(np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
+#: A word of lower-case Latin letters and the ASCII marks after it.
+PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
+
+
 class WordIds(dict):
     """Token ids, as packed numbers, of words between ASCII white space.
 
     No token and no rule of the tokenizer reaches over white space, so the
-    ids of a text are those of its words in turn.
+    ids of a text are those of its words in turn. Marks that end a word are a
+    pre-token of their own, so a plain word is looked up without them. Plain
+    words are composed already and need no more normalizing than lower case,
+    so the model is asked directly; all others take the whole way.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.parts: dict[str, bytes] = {}
+        letters = "".join(map(chr, [*range(97, 123), *range(0xDF, 0x250)]))
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
+        probe = ["stone", "été", "größer", "ñandú"]
+        self.direct = all(self._model(w) == self._whole(w) for w in probe) and all(self._whole(w + "!?") == self._whole(w) + self._whole("!?") for w in probe)
+
+    def _model(self, word: str) -> bytes:
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(word.translate(self.as_bytes))]).tobytes()
+
+    def _whole(self, word: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str, find) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = find(part)
+            if len(part) <= LONGEST:
+                self.parts[part] = ids
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = array(self.kind, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        text = word.decode()
+        plain = PLAIN.fullmatch(text.lower()) if self.direct else None
+        if plain:
+            ids = self._part(plain[1], self._model)
+            if plain[2]:
+                ids += self._part(plain[2], self._whole)
+        else:
+            ids = self._whole(text)
         if len(word) <= LONGEST:
             self[word] = ids
         return ids
@@ -98,6 +134,8 @@ class WordIds(dict):
     def of(self, text: bytes) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
         return b"".join(map(self.__getitem__, text.split()))
 
 
