@@ -118,5 +118,22 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     )
 
 
+def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in the order of the mixture, with their columns.
+
+    Slots are joined by a hash of id, source and text rather than by
+    position. Rows that are alike share a place, so one of them stands for all
+    in the schedule's table and none is lost or doubled.
+    """
+    keys = [F.col("doc_id"), F.col("source"), F.col("text")]
+    tag = F.xxhash64(*keys)
+    named = docs.withColumn("doc_id", tag)
+    slots = schedule(named, weights, block_bytes).groupBy("doc_id").agg(F.min(F.struct("slot", "start")).alias("place"))
+    placed = docs.withColumn("__tag", tag).join(slots.select(F.col("doc_id").alias("__key"), "place"), F.col("__tag") == F.col("__key"), "left")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("place.slot"), F.col("place.start"), F.col("__tag")]
+    return placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents"))
