@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.shared import held_out, table, text_bytes
+from spindrift.llm.shared import claim, held_out, table, text_bytes
 
 #: Longest context in bytes.
 ORDER = 4
@@ -20,8 +20,8 @@ MAX_TEXT = 100_000
 #: Languages at most, the most frequent first; bounds the model.
 MAX_LANGUAGES = 256
 #: Bytes scored at a time, and bytes of a worker's table of finished grams.
-PIECE = 1 << 20
-TABLE_BYTES = 96 << 20
+PIECE = 1 << 18
+TABLE_BYTES = 48 << 20
 #: Stands before every text as its first context.
 START = b"\n" * ORDER
 UNKNOWN = "und"
@@ -76,6 +76,9 @@ class ContextTrees:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_slots": None}
 
+    def forget(self) -> None:
+        self._slots = None
+
     def lengths(self, grams: np.ndarray) -> np.ndarray:
         """Code length in bits of the last byte of each gram, by language."""
         bits = np.zeros((len(grams), len(self.languages)))
@@ -193,6 +196,7 @@ def predictor(spark: SparkSession, model: ContextTrees):
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trees = sent.value
+        claim(f"langid {id(trees)}", trees.forget)
         names = np.array(trees.languages, dtype=object)
         for texts in batches:
             best, score = trees.predict(list(texts))

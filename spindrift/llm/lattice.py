@@ -18,8 +18,9 @@ LONGEST = 16
 #: Rounds of expectation and maximization, and counts added to every piece.
 ROUNDS = 3
 SMOOTHING = 0.1
-#: The most frequent words, whose scores every worker holds.
-HOT = 100_000
+#: A word that makes up one part in this many of all words is frequent. There
+#: are at most as many such words, and every worker holds their scores.
+HOT = 400_000
 #: Words that a task counts before it sends the counts on.
 HELD = 400_000
 #: Words of one length that go through the lattice together.
@@ -268,9 +269,10 @@ def score(docs: DataFrame, model: str | None = None, modulus: int = 7, id_col: s
     from the texts that are not held out. ``base_score`` is an add-one word
     model of the same texts.
 
-    Word counts cover all documents. The ``hot`` most frequent words, a
-    bounded number, are scored where the texts are; all other words are joined
-    by word, and none of those can be frequent enough to be a hot key.
+    Word counts cover all documents. Words that make up one part in
+    ``hot`` or more, of which there are at most ``hot``, are scored where the
+    texts are; all other words are joined by word, and none of those can be
+    frequent enough to be a hot key.
 
     A null text is empty: its end alone is scored. A null id is held out.
     Repeated rows each come back and are each learned from. An empty table
@@ -284,7 +286,7 @@ def score(docs: DataFrame, model: str | None = None, modulus: int = 7, id_col: s
     pieces = vocabulary(model)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), held_out(id_col, modulus).alias("held"), text_bytes(text_col).alias("text"))
     counts, counts_path = materialize(word_counts(rows), "counts")
-    learned, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    learned, kinds, everywhere = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = rows.where("not held").count()
     total, distinct = learned + ends, kinds + (ends > 0)
     lattice, end = train(counts, ends, pieces, rounds)
@@ -295,7 +297,7 @@ def score(docs: DataFrame, model: str | None = None, modulus: int = 7, id_col: s
     def base_of(c: int) -> float:
         return math.log10((c + 1) / (total + distinct + 1))
 
-    top = words.orderBy(F.desc("n"), "word").limit(hot).collect()
+    top = words.where(F.col("n") * hot >= everywhere).collect()
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): (int(r["c"] > 0), base_of(r["c"]), r["log"]) for r in top})
     entries = rows.mapInArrow(lambda it: _documents(it, frequent), "key binary, row long, id long, held boolean, tokens long, known long, base double, log double")
     known = words.select(F.col("word").alias("key"), "c", F.col("log").alias("w_log")).hint("shuffle_hash")

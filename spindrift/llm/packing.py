@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.prefix import running_sum
-from spindrift.llm.shared import materialize, table, text_bytes
+from spindrift.llm.shared import claim, materialize, table, text_bytes
 
 #: Tokens in a sequence, and the id that ends a document.
 LENGTH = 4096
@@ -26,7 +26,7 @@ HASHED = 256
 DIMENSIONS = 4
 BITS = 15
 #: Words a worker remembers the ids of, and the longest of them in bytes.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 LONGEST = 64
 
 
@@ -144,6 +144,7 @@ _words: dict[int, tuple[WordIds, Placer]] = {}
 
 def _tokenized(batches: Iterator[pa.RecordBatch], spec, end: int) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    claim("packing", _words.clear)
     key = hash(spec.value)
     if key not in _words:
         _words.clear()

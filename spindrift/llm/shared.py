@@ -4,14 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.sources.package import ship
 
-#: Rows per Arrow batch are bounded by Spark in bytes as well as in number, so
-#: one batch of very long documents does not outgrow a worker.
+#: Rows per Arrow batch; Spark bounds its bytes besides, so neither many nor
+#: very long documents outgrow a worker.
+BATCH_ROWS = 2000
+
+_holder: list[tuple[str, Callable[[], None]]] = []
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session ready for the operators that run in Python workers."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def claim(name: str, drop: Callable[[], None]) -> None:
+    """Let one operator at a time keep a table in a worker that Spark uses again.
+
+    The one before drops what it kept as soon as another begins, so a chain
+    of operators needs the memory of its largest and not of all.
+    """
+    if not _holder or _holder[0][0] != name:
+        for _, old in _holder:
+            old()
+        _holder[:] = [(name, drop)]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +74,7 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

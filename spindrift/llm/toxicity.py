@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.sampling import labelled_sample
-from spindrift.llm.shared import held_out, table, text_bytes
+from spindrift.llm.shared import claim, held_out, table, text_bytes
 
 #: Labelled documents to learn from.
 MAX_ROWS = 4000
@@ -29,7 +29,7 @@ LONGEST = 4096
 #: Weights of the characters of a whole word, by place.
 POWERS = np.cumprod(np.full(LONGEST + 3, 0x100000001B3, np.uint64))
 #: Finished words a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -188,6 +188,9 @@ class SubwordSoftmax:
         owner, bucket = ngrams(words)
         return np.bincount(owner, weights=self.buckets[bucket], minlength=len(words)) / np.maximum(np.bincount(owner, minlength=len(words)), 1)
 
+    def forget(self) -> None:
+        self._known = None
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Between 0 and 1; a text without words scores as a neutral bag."""
         if not np.isfinite(self.shift):
@@ -233,6 +236,7 @@ def score_column(spark: SparkSession, model: SubwordSoftmax, text_col: str = "te
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim(f"toxicity {id(sent.value)}", sent.value.forget)
         for texts in batches:
             yield pd.Series(sent.value.score(list(texts)), dtype="float64")
 
