@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import fixed as X
 from spindrift.functions.patterns import first_present
-from spindrift.schemas import CITY_FIELDS
 
 
 def normalize(name: Column) -> Column:
@@ -44,10 +43,14 @@ def prose(content: Column, kind: str) -> list[Column]:
     return [_found(content, p) for p in X.PROSE[kind]]
 
 
-def columns(content: Column) -> dict[str, Column]:
-    """The nineteen facts of an article."""
-    raw = {name: value(content, *aliases) for name, aliases in X.INFOBOX.items()}
-    found = {name: clean(v) for name, v in raw.items()}
+def raw_values(content: Column) -> Column:
+    """The infobox values of an article as they stand, in the order of ``INFOBOX``."""
+    return F.array(*[value(content, *aliases) for aliases in X.INFOBOX.values()])
+
+
+def columns(content: Column, cleaned: Column) -> dict[str, Column]:
+    """The nineteen facts of an article, from its text and its cleaned infobox values."""
+    found = {name: F.element_at(cleaned, i + 1) for i, name in enumerate(X.INFOBOX)}
     found["rivers"] = F.concat_ws(", ", found["rivers"], *prose(content, "rivers"))
     found["mountains"] = F.concat_ws(", ", *prose(content, "mountains"))
     found["historic_sites"] = F.concat_ws(", ", *prose(content, "historic_sites"))
@@ -56,4 +59,4 @@ def columns(content: Column) -> dict[str, Column]:
     found["airports"] = F.coalesce(*prose(content, "airports"), F.lit(""))
     for name in ("nicknames", "languages", "twin_cities"):
         found[name] = F.regexp_replace(found[name], "[,;]", ", ")
-    return {name: final_clean(found[name]) for name in CITY_FIELDS}
+    return found

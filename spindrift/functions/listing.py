@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spindrift.functions import fixed as X
-from spindrift.functions.patterns import EXACT, LINE, MISSING, PAGE, first_group, first_present, or_missing, strip
+from spindrift.functions.patterns import EXACT, LINE, MISSING, PAGE, first_group, first_present, let, or_missing, strip
 
 HARD_SPACE = "\u00a0"
 
@@ -94,27 +94,36 @@ def availability(html: Column, earlier: bool = False) -> Column:
 
 def city_part(where: Column, land: Column) -> Column:
     """The part of an address that names the city, as it stands."""
-    parts = F.split(where, ",")
-    n = F.size(parts)
-    other = F.when(n == 3, parts[2]).when(n == 2, parts[1]).when(n == 1, parts[0]).otherwise(MISSING)
-    return F.when(land == "Slovakia", F.when(n == 3, parts[1]).otherwise(parts[0])).otherwise(other)
+
+    def part(parts: Column) -> Column:
+        n = F.size(parts)
+        other = F.when(n == 3, parts[2]).when(n == 2, parts[1]).when(n == 1, parts[0]).otherwise(MISSING)
+        return F.when(land == "Slovakia", F.when(n == 3, parts[1]).otherwise(parts[0])).otherwise(other)
+
+    return let(F.split(where, ","), part)
 
 
 def city(where: Column, land: Column) -> Column:
     """The city from its first non-digit on (outside Slovakia); null if all is digits."""
-    part = city_part(where, land)
-    found = F.when(land == "Slovakia", part).otherwise(F.regexp_substr(part, F.lit(EXACT + r"[^\d].*")))
-    return _spaced(found)
+
+    def read(given: Column) -> Column:
+        part = city_part(given["where"], given["land"])
+        return F.when(given["land"] == "Slovakia", part).otherwise(F.regexp_substr(part, F.lit(EXACT + r"[^\d].*")))
+
+    return _spaced(let(F.struct(where.alias("where"), land.alias("land")), read))
 
 
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def columns(path: Column, html: Column) -> dict[str, Column]:
+def shared(html: Column, land: Column, earlier: bool = False) -> dict[str, Column]:
+    """What several fields of a page are read from."""
+    return {"offer": offer_type(html, land, earlier), "paid": price(html, land, earlier), "where": address(html, land, earlier)}
+
+
+def columns(path: Column, html: Column, land: Column, offer: Column, paid: Column, where: Column) -> dict[str, Column]:
     """The twenty fields of a page by the current pattern pack."""
-    land = country(html)
-    offer, paid, where = offer_type(html, land), price(html, land), address(html, land)
     return {
         "title": field(html, X.TITLE),
         "property_type": property_type(html),
@@ -139,19 +148,13 @@ def columns(path: Column, html: Column) -> dict[str, Column]:
     }
 
 
-def earlier_columns(path: Column, html: Column) -> dict[str, Column]:
+def earlier_columns(path: Column, html: Column, land: Column, offer: Column, paid: Column, where: Column) -> dict[str, Column]:
     """The same fields by the earlier pattern pack, which names no city."""
-    land = country(html)
-    offer, paid = offer_type(html, land, True), price(html, land, True)
-    found = columns(path, html) | {name: field(html, pattern) for name, pattern in X.EARLIER.items()}
+    found = columns(path, html, land, offer, paid, where) | {name: field(html, pattern) for name, pattern in X.EARLIER.items()}
     return found | {
-        "offer_type": offer,
-        "address": address(html, land, True),
         "energy_class": energy_class(html, True),
         "year_built": or_missing(strip(first_group(html, PAGE + X.EARLIER_YEAR))),
         "city": F.lit(MISSING),
-        "price": F.when(offer == "buy", paid).otherwise(MISSING),
         "price_per_m2": price_per_m2(html, land, True),
-        "rent_price": F.when(offer == "rent", paid).otherwise(MISSING),
         "availability": availability(html, True),
     }

@@ -39,3 +39,12 @@ def first_present(*texts: Column) -> Column:
 
 def or_missing(text: Column) -> Column:
     return F.coalesce(text, F.lit(MISSING))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used in it.
+
+    A filter that the optimizer moves below a projection repeats what the
+    projection names; a bound value stays one.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -16,12 +16,17 @@ NO_CITY = "'NoneType' object has no attribute 'group'"
 def extract_listings(pages: DataFrame, path_col: str = "path", html_col: str = "html", earlier: bool = False) -> DataFrame:
     """One record of strings for each page, and the error of those that have none.
 
-    All fields are native expressions of one projection, so pages are read
-    once and never leave the JVM. A page whose city cannot be read is kept
+    All fields are native expressions over one scan, so pages are read once
+    and never leave the JVM. A page whose city cannot be read is kept
     with nulls and an error. A null page reads like an empty one.
     """
     rows = pages.select(F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    found = (listing.earlier_columns if earlier else listing.columns)(F.col("path"), F.col("html"))
+    # in steps, so that what many fields need is worked out once for a page
+    html, land = F.col("html"), F.col("land")
+    rows = rows.withColumn("land", listing.country(html))
+    rows = rows.withColumns(listing.shared(html, land, earlier))
+    given = [F.col(c) for c in ("path", "html", "land", "offer", "paid", "where")]
+    found = (listing.earlier_columns if earlier else listing.columns)(*given)
     read = rows.select("path", *[found[c].alias(c) for c in LISTING_FIELDS])
     if earlier:
         return read

@@ -47,9 +47,16 @@ def repeated_titles(pages: DataFrame) -> DataFrame:
 
 
 def facts(pages: DataFrame) -> DataFrame:
-    """The key of each city and its nineteen facts, in one projection."""
-    found = infobox.columns(F.col("content"))
-    return pages.select(infobox.normalize(F.col("title")).alias("title_norm"), *[found[c].alias(c) for c in CITY_FIELDS])
+    """The key of each city and its nineteen facts.
+
+    Values are cleaned in arrays, by one expression for all of them, so the
+    plan stays small enough to be compiled.
+    """
+    content = F.col("content")
+    raw = pages.select(infobox.normalize(F.col("title")).alias("title_norm"), "content", F.transform(infobox.raw_values(content), infobox.clean).alias("raw"))
+    found = infobox.columns(content, F.col("raw"))
+    last = raw.select("title_norm", F.transform(F.array(*[found[c] for c in CITY_FIELDS]), infobox.final_clean).alias("facts"))
+    return last.select("title_norm", *[F.element_at("facts", i + 1).alias(c) for i, c in enumerate(CITY_FIELDS)])
 
 
 def enrich(listings: DataFrame, cities: DataFrame, unique: bool = False) -> DataFrame:
