@@ -25,7 +25,7 @@ def resolve(base: Column, link: Column) -> Column:
     joined = F.when(target.startswith("/"), target).otherwise(F.concat(F.substr(root, F.length(site) + 1), target))
     joined = F.concat(site, _without_dots(joined), rest)
     return (
-        F.when(link == "", F.regexp_extract(base, r"^([^#]*)", 1))
+        F.when(link == "", base)
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("?"), F.concat(page, link))
