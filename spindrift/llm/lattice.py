@@ -20,7 +20,7 @@ ROUNDS = 3
 SMOOTHING = 0.1
 #: A word that makes up one part in this many of all words is frequent. There
 #: are at most as many such words, and every worker holds their scores.
-HOT = 400_000
+HOT = 1_000_000
 #: Words that a task counts before it sends the counts on.
 HELD = 400_000
 #: Words of one length that go through the lattice together.
@@ -222,7 +222,7 @@ def _documents(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatc
 
     The key of a text's own row has a space in it, so it is no word's.
     """
-    known = hot.value
+    known, (flag, bases, logs) = hot.value
     names = ["key", "row", "id", "held", "tokens", "known", "base", "log"]
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     for batch in batches:
@@ -234,13 +234,15 @@ def _documents(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatc
             rare = []
             for word, times in counts.items():
                 tokens += times
-                entry = known.get(word)
-                if entry is None:
+                place = known.get(word)
+                if place is None:
                     rare.append((word, times))
                 else:
-                    seen += times * entry[0]
-                    common.append((times * entry[1], times * entry[2]))
-            base, log = (math.fsum(x) for x in zip(*common, strict=True)) if common else (0.0, 0.0)
+                    common.append((place, times))
+            base = log = 0.0
+            if common:
+                at, often = np.array(common).T
+                seen, base, log = int(flag[at] @ often), float(bases[at] @ often), float(logs[at] @ often)
             for to, value in zip(out, (b" %d" % number, number, doc.as_py(), held.as_py(), tokens, seen, base, log), strict=True):
                 to.append(value)
             k = len(rare)
@@ -298,7 +300,8 @@ def score(docs: DataFrame, model: str | None = None, modulus: int = 7, id_col: s
         return math.log10((c + 1) / (total + distinct + 1))
 
     top = words.where(F.col("n") * hot >= everywhere).collect()
-    frequent = spark.sparkContext.broadcast({bytes(r["word"]): (int(r["c"] > 0), base_of(r["c"]), r["log"]) for r in top})
+    values = np.array([int(r["c"] > 0) for r in top]), np.array([base_of(r["c"]) for r in top], float), np.array([r["log"] for r in top], float)
+    frequent = spark.sparkContext.broadcast(({bytes(r["word"]): k for k, r in enumerate(top)}, values))
     entries = rows.mapInArrow(lambda it: _documents(it, frequent), "key binary, row long, id long, held boolean, tokens long, known long, base double, log double")
     known = words.select(F.col("word").alias("key"), "c", F.col("log").alias("w_log")).hint("shuffle_hash")
     times = F.col("tokens")

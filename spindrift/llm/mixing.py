@@ -129,9 +129,9 @@ def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     tag = F.xxhash64(*keys)
     named = docs.withColumn("doc_id", tag)
     slots = schedule(named, weights, block_bytes).groupBy("doc_id").agg(F.min(F.struct("slot", "start")).alias("place"))
-    placed = docs.withColumn("__tag", tag).join(slots.select(F.col("doc_id").alias("__key"), "place"), F.col("__tag") == F.col("__key"), "left")
+    placed = docs.withColumn("__tag", tag).join(slots.select(F.col("doc_id").alias("__key"), F.col("place").alias("__place")), F.col("__tag") == F.col("__key"), "left")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("place.slot"), F.col("place.start"), F.col("__tag")]
+    order = [F.col("__place.slot"), F.col("__place.start"), F.col("__tag")]
     return placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*docs.columns)
 
 

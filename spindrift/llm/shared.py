@@ -15,6 +15,7 @@ from spindrift.sources.package import ship
 #: very long documents outgrow a worker.
 BATCH_ROWS = 2000
 
+_own: dict[str, str] = {}
 _holder: list[tuple[str, Callable[[], None]]] = []
 
 
@@ -43,8 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = tempfile.mkdtemp(prefix="spindrift-")
+        named = _own[application]
     return named.rstrip("/")
 
 
