@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op9_warc": warc.OP9_SQL}
+ORACLES: dict[str, str] = {"op5_embedding_dedup": cosine.OP5_SQL, "op9_warc": warc.OP9_SQL}
