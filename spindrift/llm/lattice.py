@@ -147,6 +147,18 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield index, flat.reshape(len(index), size + 1)
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = 8 * TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches of words put together, so that each length has many of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of a task: in learned-from texts, and in all."""
     counts: list[Counter] = [Counter(), Counter()]
@@ -194,7 +206,7 @@ def train(counts: DataFrame, ends: int, pieces: list[bytes], rounds: int = ROUND
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size)
-            for batch in batches:
+            for batch in together(batches):
                 words, weights = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float)
                 for index, text in by_length(words):
                     sent.value.expected(text, weights[index], total)
@@ -212,7 +224,7 @@ def train(counts: DataFrame, ends: int, pieces: list[bytes], rounds: int = ROUND
 
 
 def _score_words(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in together(batches):
         logs = sent.value.words(batch.column("word").to_pylist()) / math.log(10)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], names=[*batch.schema.names, "log"])
 
