@@ -14,7 +14,7 @@ from spindrift.llm.sampling import labelled_sample
 from spindrift.llm.shared import claim, held_out, table, text_bytes
 
 #: Labelled documents to learn from.
-MAX_ROWS = 4000
+MAX_ROWS = 6000
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.3
 #: Lengths of the character n-grams of a word between its bounds.
@@ -72,6 +72,17 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets)
 
 
+def ordered_ngrams(words: list[bytes], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """As ``ngrams`` in the order of words, for many words in little memory."""
+    owners, buckets = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for lo in range(0, len(words), step):
+        owner, bucket = ngrams(words[lo : lo + step])
+        order = np.argsort(owner, kind="stable")
+        owners.append((owner[order] + lo).astype(np.int32))
+        buckets.append(bucket[order].astype(np.int32))
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
 def best_bag(values: np.ndarray) -> tuple[float, int]:
     """The highest mean of ``BAG`` neighbouring words, and where it starts."""
     size = min(BAG, len(values))
@@ -94,7 +105,7 @@ class SubwordSoftmax:
     all that scoring needs of it.
     """
 
-    def __init__(self, texts: list[bytes], labels: np.ndarray, steps: int = 1500, seed: int = 5):
+    def __init__(self, texts: list[bytes], labels: np.ndarray, steps: int = 3000, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
         self.out = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
@@ -113,9 +124,7 @@ class SubwordSoftmax:
     def _train(self, texts: list[bytes], labels: np.ndarray, steps: int, rng: np.random.Generator) -> None:
         number: dict[bytes, int] = {}
         docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
-        owner, bucket = ngrams(list(number))
-        order = np.argsort(owner, kind="stable")
-        owner, bucket = owner[order], bucket[order]
+        owner, bucket = ordered_ngrams(list(number))
         count = np.bincount(owner, minlength=len(number))
         begin = np.concatenate([[0], np.cumsum(count)])
         held = rng.random(len(docs)) < 0.2
