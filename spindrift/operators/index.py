@@ -86,7 +86,8 @@ class Index:
         return cls(*[spark.read.parquet(f"{path}/{part}") for part in ("docs", "postings", "stats")])
 
     def size(self) -> int:
-        return self.stats.first()["num_docs"]
+        """Documents; of files, this is read from their metadata."""
+        return self.docs.count()
 
     def search(self, query: str, idf_type: str = "classic", top_n: int = 5) -> DataFrame:
         """``(rank, doc_id, score)`` of the best documents for one query."""
