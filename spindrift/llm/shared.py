@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +38,23 @@ def claim(name: str, drop: Callable[[], None]) -> None:
     if not _holder or _holder[0][0] != name:
         for _, old in _holder:
             old()
+        if _holder:
+            _return_memory()
         _holder[:] = [(name, drop)]
 
 
+def nothing() -> None:
+    """What an operator drops that keeps no table."""
+
+
+def _return_memory() -> None:
+    """Give freed memory back to the system, as far as the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
