@@ -137,6 +137,36 @@ def test_large_group_of_near_copies(spark):
         assert groups.select("component").distinct().count() == 1 and groups.count() == 400
 
 
+def grams(text):
+    tokens = text.split()
+    return {tuple(tokens[k : k + 5]) for k in range(max(1, len(tokens) - 4))}
+
+
+def groups_by_force(texts, similarity=0.8):
+    sets = [grams(t) for t in texts]
+    return roots(len(sets), [(a, b) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])])
+
+
+def groups_found(spark, texts, **more):
+    found = copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **more)
+    got = {r["rep"]: r["component"] for r in found.collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def test_copies_within_a_template_are_found(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    shared, texts = word(186), []
+    for _ in range(60):
+        own = word(28)  # all share 182 of 210 shingles: 0.76; these two 195: 0.87
+        texts += [" ".join(shared + own), " ".join(shared + own[:13] + word(15))]
+    order = rng.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    want = groups_by_force(texts)
+    assert len(set(want)) == 60
+    assert groups_found(spark, texts, cell=50) == want
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(15, 24))
