@@ -167,6 +167,19 @@ def test_copies_within_a_template_are_found(spark):
     assert groups_found(spark, texts, cell=50) == want
 
 
+def test_copies_at_the_border_are_found(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    texts = []
+    for n in (8, 9, 10, 12, 16, 20, 24, 28, 44, 104, 204):  # words; so many shingles and four
+        for _ in range(30):
+            own = word(n)
+            texts += [" ".join(own), " ".join(own + word((n - 4) // 4))]
+    want = groups_by_force(texts)
+    assert len(set(want)) == len(texts) // 2
+    assert groups_found(spark, texts) == want
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(15, 24))
