@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.prefix import running_sum
@@ -21,6 +21,8 @@ from spindrift.llm.shared import claim, materialize, table, text_bytes
 #: Tokens in a sequence, and the id that ends a document.
 LENGTH = 4096
 END = 2
+#: Tokens of a mixture that are sorted along the curve at a time.
+WINDOW = 256 * LENGTH
 #: Width of the hashed document vectors, and what they are projected to.
 HASHED = 256
 DIMENSIONS = 4
@@ -164,7 +166,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], spec, end: int) -> Iterator[pa
             rows.append(shrink(ids))
         if rows:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("id"), pa.array(counts, pa.int64()), pa.array(placer.keys(np.array(vectors))), pa.array(rows, pa.binary())], names=["row", "id", "tokens", "place", "ids"]
+                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(counts, pa.int64()), pa.array(placer.keys(np.array(vectors))), pa.array(rows, pa.binary())], names=[*(c for c in batch.schema.names if c != "text"), "tokens", "place", "ids"]
             )
 
 
@@ -188,7 +190,20 @@ def _cut(batches: Iterator[pa.RecordBatch], kind: str, length: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _row_order(docs: DataFrame) -> list[Column]:
+    """Two numbers that give the order of rows: in files as written, or else of partitions.
+
+    A scan deals files out by their size, so the place in it is not the order.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        number = F.expr("try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) as long)")
+        return [F.coalesce(number, F.lit(0).cast("long")), F.col("_metadata.row_index").cast("long")]
+    return [F.lit(0).cast("long"), F.monotonically_increasing_id()]
+
+
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text", window: int | None = None
+) -> DataFrame:
     """One row for each piece of a document in a packed sequence.
 
     Documents are laid end to end along a Hilbert curve through their
@@ -199,6 +214,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     follow each other by id, null ids first; repeated rows are packed as
     often as they come. An empty table gives an empty result. Other columns
     are not read. ``tokenizer`` is the path of a ``tokenizers`` file.
+
+    With ``window`` the order of the rows is kept but for windows of so many
+    tokens: documents are sorted along the curve within the window they start
+    in, and windows follow each other. So a mixture of sources stays one.
     """
     spark = docs.sparkSession
     if tokenizer is None:
@@ -208,9 +227,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     words = WordIds(Path(tokenizer).read_text(encoding="utf-8"))
     kind = "<u2" if words.kind == "H" else "<u4"
     spec = spark.sparkContext.broadcast(words.tokenizer.to_str())
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-    tokenized, _ = materialize(rows.mapInArrow(lambda it: _tokenized(it, spec, end), "row long, id long, tokens long, place long, ids binary"), "tokens", "uncompressed")
-    placed = running_sum(tokenized.select("row", "id", "tokens", "place"), ["place", "id", "row"], "tokens", "begin")
+    order = [c.alias(name) for c, name in zip(_row_order(docs), ("file", "nth"), strict=True)] if window else []
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *order, F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+    kind_of = "row long, file long, nth long, id long" if window else "row long, id long"
+    tokenized, _ = materialize(rows.mapInArrow(lambda it: _tokenized(it, spec, end), f"{kind_of}, tokens long, place long, ids binary"), "tokens", "uncompressed")
+    curve = ["place", "id", "row"]
+    if window:
+        mixed = running_sum(tokenized.drop("ids"), ["file", "nth", "row"], "tokens", "before")
+        sizes = mixed.select("row", "id", "tokens", "place", F.floor(F.col("before") / window).alias("window"))
+        curve = ["window", *curve]
+    else:
+        sizes = tokenized.select("row", "id", "tokens", "place")
+    placed = running_sum(sizes, curve, "tokens", "begin")
     # the side without the ids is small in every partition, so it is the one hashed
     joined = tokenized.select("row", "id", "ids").join(placed.select("row", "begin").hint("shuffle_hash"), "row")
     pieces = joined.select("id", "ids", "begin").mapInArrow(

@@ -186,6 +186,26 @@ def test_recall(spark):
     assert np.mean([r["vec_id"] in dict(want[r["query_id"]]) for r in found]) >= 0.9
 
 
+def test_packing_keeps_the_mixture(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    name = lambda k: f"s{max(0, k % 6 - 3)}"  # noqa: E731  # s0 has two thirds of the rows
+    rows = [(k, name(k), " ".join(f"{name(k)}word{w}" for w in rng.integers(0, 9, 6))) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixing.in_order(docs, block_bytes=400).write.parquet(str(tmp_path / "mixed"))
+    length, window = 64, 2048
+    pieces = packing.pack(spark.read.parquet(str(tmp_path / "mixed")), length=length, window=window).collect()
+    assert {r["doc_id"] for r in pieces} == set(range(900))
+    tokens = {}
+    for r in pieces:
+        by = tokens.setdefault((r["sequence_id"] * length + r["offset"]) // window, {})
+        by[name(r["doc_id"])] = by.get(name(r["doc_id"]), 0) + r["length"]
+    # s1 and s2 have a sixth each, so all three last for the first half
+    even = [tokens[k] for k in sorted(tokens)][: len(tokens) // 2 - 1]
+    assert len(even) >= 3
+    for by in even:
+        assert all(abs(by.get(s, 0) - window / 3) < window / 6 for s in ("s0", "s1", "s2")), by
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
