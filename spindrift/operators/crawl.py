@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ def page_links(pages: DataFrame, pattern: str, base: str | None = None) -> DataF
     return found.select(F.col("url").alias("src_url"), urls.resolve(against, F.col("link")).alias("dst_url")).distinct()
 
 
-def reached(edges: DataFrame, roots: DataFrame, levels: int, visited: DataFrame | None = None, save=None) -> DataFrame:
-    """``(url, depth)`` of all that is reached from ``roots(url)`` within ``levels`` links.
+def reached(edges: DataFrame, roots: DataFrame, levels: int | None = None, visited: DataFrame | None = None, save=None) -> DataFrame:
+    """``(url, depth)`` of all that is reached from ``roots(url)``, within ``levels`` links if given.
 
     One level at a time: links of the frontier, without those visited before.
     ``save`` writes and reads back a table, to cut the growing lineage; it
@@ -54,7 +55,7 @@ def reached(edges: DataFrame, roots: DataFrame, levels: int, visited: DataFrame
         frontier = frontier.join(visited.select("url"), "url", "left_anti")
     frontier = save(frontier)
     seen = frontier.select("url", F.lit(0).alias("depth"))
-    for depth in range(1, levels + 1):
+    for depth in count(1) if levels is None else range(1, levels + 1):
         step = edges.join(frontier, edges.src_url == frontier.url, "left_semi").select(F.col("dst_url").alias("url")).distinct()
         step = step.join(seen, "url", "left_anti")
         if visited is not None:
@@ -66,13 +67,13 @@ def reached(edges: DataFrame, roots: DataFrame, levels: int, visited: DataFrame
     return seen
 
 
-def crawl(pages: DataFrame, job: CrawlJob, state: CrawlState | None = None, levels: int = 10, save=None) -> DataFrame:
+def crawl(pages: DataFrame, job: CrawlJob, state: CrawlState | None = None, levels: int | None = None, save=None) -> DataFrame:
     """Visit ``pages(url, html)`` from a root or a stored state, and report every visit.
 
     Returns ``(url, depth, html, saved)``. Pages are visited in the order of
     their level and URL; those that fit the job are saved until the cap, with
     the saves of the state counted in, and with the last of them visiting
-    ends. A URL without a page is visited and not saved.
+    ends. Without ``levels`` only the cap or the end of the frontier does. A URL without a page is visited and not saved.
     """
     spark = pages.sparkSession
     state = state or CrawlState(queue_items=[job.root_url])

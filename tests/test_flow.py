@@ -74,6 +74,14 @@ def test_crawl(spark):
     assert crawl.crawl(web(spark), job, crawl.CrawlState(2, queue_items=["http://x.at/"])).count() == 0
 
 
+def test_crawl_has_no_depth_of_its_own(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rows = [(f"http://x.at/{k}", f'<a href="/{k + 1}">' + ("<p>Wohnfläche</p>" if k > 11 else "")) for k in range(15)]
+    job = crawl.CrawlJob("http://x.at/0", "Austria", r'href="([^"]+)"', "wohnfläche", max_saves=2)
+    visits = {r["url"]: (r["depth"], r["saved"]) for r in crawl.crawl(spark.createDataFrame(rows, "url string, html string"), job).collect()}
+    assert visits == {f"http://x.at/{k}": (k, k > 11) for k in range(14)}
+
+
 def test_ledger(spark):
     visits = spark.createDataFrame([("u", True), ("v", False), ("u", True)], "url string, saved boolean")
     rows = crawl.ledger_rows(visits, "Austria", "pages/", "2024-01-01 00:00:00")
