@@ -167,6 +167,32 @@ def test_copies_within_a_template_are_found(spark):
     assert groups_found(spark, texts, cell=50) == want
 
 
+@pytest.mark.parametrize("sizes", [{}, {"cell": 40, "cell_texts": 64}])
+def test_groups_of_a_dense_template(spark, sizes):
+    rng = np.random.default_rng(10)
+    base, texts = [f"w{k}" for k in rng.integers(0, 10**9, 240)], []
+    for k in range(400):  # two of these share 0.77 on average, a few of them 0.8 and more
+        own = base.copy()
+        for n, place in enumerate(rng.choice(240, 3 + k % 2, replace=False)):
+            own[place] = f"x{k}.{n}"
+        texts.append(" ".join(own))
+    want = groups_by_force(texts)
+    assert 1 < len(set(want)) < 200
+    assert groups_found(spark, texts, **sizes) == want
+
+
+def test_texts_of_one_id_are_no_copies(spark):
+    rows = [(7, "alpha beta gamma delta epsilon zeta", 2), (7, "one two three four five six", 1), (8, "one two three four five six", 3), (9, "one two", 5), (9, "one two", 4), (9, "one two", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    assert sorted(tuple(r) for r in copies.keep_one(docs).collect()) == [(7, rows[0][1], 2), (7, rows[1][1], 1), (9, "one two", 4)]
+
+
+def test_very_long_copies(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in copies.keep_one(docs).collect()) == [1, 3]
+
+
 def test_copies_at_the_border_are_found(spark):
     rng = np.random.default_rng(9)
     word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
