@@ -42,20 +42,23 @@ def page_links(pages: DataFrame, pattern: str, base: str | None = None) -> DataF
     return found.select(F.col("url").alias("src_url"), urls.resolve(against, F.col("link")).alias("dst_url")).distinct()
 
 
-def reached(edges: DataFrame, roots: DataFrame, levels: int | None = None, visited: DataFrame | None = None, save=None) -> DataFrame:
+def reached(edges: DataFrame, roots: DataFrame, levels: int | None = None, visited: DataFrame | None = None, save=None, enough=None) -> DataFrame:
     """``(url, depth)`` of all that is reached from ``roots(url)``, within ``levels`` links if given.
 
     One level at a time: links of the frontier, without those visited before.
-    ``save`` writes and reads back a table, to cut the growing lineage; it
+    With ``enough`` the level for whose ``(url)`` it is true is the last. ``save`` writes and reads back a table, to cut the growing lineage; it
     defaults to a reliable checkpoint.
     """
     save = save or (lambda df: df.checkpoint())
+    edges = save(edges)  # found once, not at every level
     frontier = roots.select("url").distinct()
     if visited is not None:
         frontier = frontier.join(visited.select("url"), "url", "left_anti")
     frontier = save(frontier)
     seen = frontier.select("url", F.lit(0).alias("depth"))
     for depth in count(1) if levels is None else range(1, levels + 1):
+        if enough and enough(frontier):
+            break
         step = edges.join(frontier, edges.src_url == frontier.url, "left_semi").select(F.col("dst_url").alias("url")).distinct()
         step = step.join(seen, "url", "left_anti")
         if visited is not None:
@@ -81,11 +84,20 @@ def crawl(pages: DataFrame, job: CrawlJob, state: CrawlState | None = None, leve
     roots = spark.createDataFrame([(u,) for u in state.queue_items], "url string")
     visited = spark.createDataFrame([(u,) for u in state.visited], "url string") if state.visited else None
     one = pages.select("url", "html").dropDuplicates(["url"])
-    found = reached(page_links(one, job.property_url_regex, base), roots, levels, visited, save).join(one, "url", "left")
     fits = urls.starts_like(urls.resolve(F.lit(base), F.col("url")), job.property_url_regex_full)
     shown = urls.is_interesting(F.col("html"), job.validation_pattern) if job.validation_pattern else F.lit(False)
-    checked = found.withColumn("fits", F.coalesce(fits & shown, F.lit(False)))
+    fits = F.coalesce(fits & shown, F.lit(False))
     left = job.max_saves - state.downloaded_count
+    # what may be saved is counted by levels, so the crawl ends with the level of the last save
+    saveable = (save or (lambda df: df.checkpoint()))(one.where(fits).select("url"))
+    saves = [0]
+
+    def enough(frontier: DataFrame) -> bool:
+        saves[0] += saveable.join(frontier, "url", "left_semi").count()
+        return saves[0] >= left
+
+    found = reached(page_links(one, job.property_url_regex, base), roots, levels, visited, save, enough).join(one, "url", "left")
+    checked = found.withColumn("fits", fits)
     if left <= 0:
         return checked.where("false").select("url", "depth", "html", F.col("fits").alias("saved"))
     # the place of the last page that may be saved; at most the cap is looked at

@@ -30,6 +30,29 @@ def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(terms(F.col(text_col))).alias("pos", "term")).select("term", "doc_id", "pos")
 
 
+def ordinals(rows: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``rows`` with their place, from 0, in the order in which they are read.
+
+    Each partition is counted and begins where those before it end, so no row
+    is moved.
+    """
+    at = F.monotonically_increasing_id()
+    part = F.shiftright(at, 33)
+    counts = {r["part"]: r["n"] for r in rows.select(part.alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, before = [], 0
+    for k in range(max(counts, default=-1) + 1):  # a number for each partition
+        starts.append(before)
+        before += counts.get(k, 0)
+    start = F.element_at(F.lit(starts or [0]), (part + 1).cast("int"))
+    return rows.withColumn(name, (start + at.bitwiseAND(F.lit((1 << 33) - 1))).cast("long"))
+
+
+def sorted_by_term(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` in files by ranges of terms, so that reads of a few terms skip the
+    rest by the ranges that Parquet keeps. A frequent term may fill several files."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens)`` of every document; 0 if it has no term."""
     return docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(F.size(terms(F.col(text_col))), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
@@ -69,16 +92,17 @@ class Index:
     stats: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    def build(cls, docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text") -> Index:
+        """An index of ``docs``; without an id column a document's id is the place of its row."""
+        if id_col is None:
+            docs, id_col = ordinals(docs), "doc_id"
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         return cls(rows, postings(rows), statistics(rows))
 
     def save(self, path: str) -> None:
-        """Write the index; postings are in the order of terms, so that reads of
-        a few terms skip the rest by the ranges that Parquet keeps."""
+        """Write the index, with postings in the order of terms."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.posted.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        sorted_by_term(self.posted, "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod

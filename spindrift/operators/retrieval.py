@@ -1,4 +1,4 @@
-"""Full-text retrieval: BM25, fuzzy terms, phrases, filters and parsed queries.
+"""Full-text retrieval over a stored index: BM25, fuzzy terms, phrases, filters and parsed queries.
 
 Scores are BM25 as published (Robertson and Zaragoza, 2009) with k1 = 1.2 and
 b = 0.75; clauses of a query add up.
@@ -7,18 +7,26 @@ b = 0.75; clauses of a query add up.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from math import log
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spindrift.functions.text import labelled_text
-from spindrift.operators.index import document_frequencies, lengths, positions, postings, query_terms, ranked
+from spindrift.functions.text import labelled_text, terms
+from spindrift.operators.index import query_terms, ranked, sorted_by_term
 from spindrift.operators.listings import typed
 from spindrift.sources.package import ship
+from spindrift.sources.shared import discard, scratch
 
 K1, B = 1.2, 0.75
+#: What a posting has besides its term and document.
+POSTING = T.StructType([T.StructField("tf", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
 #: Terms that a fuzzy term stands for at most.
 EXPANSIONS = 50
 
@@ -60,47 +68,122 @@ def edits(term: Column, wanted: str, limit: int) -> Column:
     return F.when(near, distance(term))
 
 
+def may_be_near(term: Column, wanted: str, limit: int) -> Column:
+    """True for all terms within ``limit`` edits of ``wanted``, and for few others.
+
+    A swap of neighbours is two plain edits, so plain distances are at most
+    twice as large. All of it runs natively.
+    """
+    return (F.abs(F.length(term) - len(wanted)) <= limit) & (F.levenshtein(term, F.lit(wanted), 2 * limit) >= 0)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of each of ``(doc_id, terms)``, with the term's places in order."""
+    for batch in batches:
+        lists = batch.column("terms")
+        length = np.diff(lists.offsets.to_numpy())  # a null has no terms
+        term = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(length)), length)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        code = term.indices.to_numpy()
+        order = np.lexsort((place, code, row))
+        row, code, place = row[order], code[order], place[order]
+        heads = np.nonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])][: len(row)])[0]
+        ends = np.r_[heads, len(row)].astype(np.int32)
+        columns = [
+            term.dictionary.take(pa.array(code[heads])),
+            batch.column("doc_id").take(pa.array(row[heads])),
+            pa.array(np.diff(ends), pa.int32()),
+            pa.array(length[row[heads]].astype(np.int32)),
+            pa.ListArray.from_arrays(ends, pa.array(place, pa.int32())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "doc_id", "tf", "n_tokens", "places"])
+
+
 class Corpus:
-    """Documents with the columns that queries look at.
+    """A stored full-text index: written once, opened by every search.
 
-    Statistics are computed once; postings are read anew by every query, for
-    its terms only.
+    ``Corpus(docs)`` writes one and opens it; ``Corpus.load`` opens one that
+    is there. The folder holds the documents without their text, a row for each term of
+    a document with its places, the vocabulary with document frequencies, and
+    one row of statistics. Ids are those of one document each. Postings and vocabulary are in the order of terms,
+    so a search reads its own terms and skips the rest of the files.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        ship(docs.sparkSession)
-        self.docs = docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"})
-        self.posted = postings(self.docs)
-        self.lengths = lengths(self.docs)
-        row = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).first()
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None):
+        spark = docs.sparkSession
+        ship(spark)
+        path = path or scratch(spark, "corpus")
+        self._write(docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"}), path)
+        self._open(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Corpus:
+        ship(spark)
+        corpus = cls.__new__(cls)
+        corpus._open(spark, path)
+        return corpus
+
+    @staticmethod
+    def _write(docs: DataFrame, path: str) -> None:
+        cut = docs.select("doc_id", terms(F.col("text")).alias("terms"))
+        posted = cut.mapInArrow(_places, T.StructType([T.StructField("term", T.StringType()), docs.schema["doc_id"], *POSTING.fields]))
+        # ranges are found from a sample, which would cut all texts a second time
+        spark = docs.sparkSession
+        posted.write.mode("overwrite").parquet(f"{path}/unsorted")
+        sorted_by_term(spark.read.parquet(f"{path}/unsorted"), "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        discard(spark, f"{path}/unsorted")
+        counted = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        sorted_by_term(counted, "term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        docs.withColumn("n_tokens", F.greatest(F.coalesce(F.size(terms(F.col("text"))), F.lit(0)), F.lit(0))).drop("text").write.mode("overwrite").parquet(f"{path}/docs")
+        stats = spark.read.parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean"))
+        stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+    def _open(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self.docs, self.posted, self.vocabulary = (spark.read.parquet(f"{path}/{part}") for part in ("docs", "postings", "vocabulary"))
+        row = spark.read.parquet(f"{path}/stats").first()
         self.n, self.mean = row["n"], row["mean"] or 1.0
 
     @classmethod
-    def of_listings(cls, rows: DataFrame, id_col: str, fields: list[str]) -> Corpus:
+    def of_listings(cls, rows: DataFrame, id_col: str, fields: list[str], path: str | None = None) -> Corpus:
         """Listings by the text of their fields, with their numbers."""
         there = [f for f in fields if f in rows.columns]
-        return cls(typed(rows).withColumn("text", labelled_text(there)), id_col, "text")
+        return cls(typed(rows).withColumn("text", labelled_text(there)), id_col, "text", path)
 
     def _bm25(self, tf: Column, df: Column, length: Column) -> Column:
         weight = F.log(1 + (F.lit(float(self.n)) - df + 0.5) / (df + 0.5))
         return weight * tf / (tf + K1 * (1 - B + B * length / F.lit(float(self.mean))))
 
+    def frequencies(self, wanted: list[str]) -> dict[str, int]:
+        """How many documents each of a query's terms is in; a row for each term."""
+        if not wanted:
+            return {}
+        return {r["term"]: r["df"] for r in self.vocabulary.where(F.col("term").isin(sorted(set(wanted)))).collect()}
+
+    def _postings(self, wanted: list[str]) -> DataFrame:
+        return self.posted.where(F.col("term").isin(sorted(set(wanted))) if wanted else F.lit(False))
+
     def scores(self, wanted: list[tuple[int, str, float]], docs: DataFrame | None = None) -> DataFrame:
         """``(doc_id, clause, score)`` for ``(clause, term, weight)``."""
-        spark = self.docs.sparkSession
-        weights = spark.createDataFrame(wanted, "clause int, term string, weight double")
-        rows = self.posted.where(F.col("term").isin(sorted({t for _, t, _ in wanted}))) if wanted else self.posted.where("false")
-        found = rows.join(document_frequencies(rows), "term").join(weights, "term")
+        known = self.frequencies([t for _, t, _ in wanted])
+        there = [(c, t, w, known[t]) for c, t, w in wanted if t in known]
+        weights = self.spark.createDataFrame(there, "clause int, term string, weight double, df long")
+        found = self._postings([t for _, t, _, _ in there]).select("term", "doc_id", "tf", "n_tokens")
         if docs is not None:
             found = found.join(docs.select("doc_id"), "doc_id", "left_semi")
         score = F.col("weight") * self._bm25(F.col("tf"), F.col("df"), F.col("n_tokens"))
-        return found.join(self.lengths, "doc_id").groupBy("doc_id", "clause").agg(F.sum(score).alias("score"))
+        # a row for each term of the query
+        return found.join(F.broadcast(weights), "term").groupBy("doc_id", "clause").agg(F.sum(score).alias("score"))
 
     def expand(self, term: str, limit: int) -> list[tuple[str, float]]:
-        """Terms within ``limit`` edits and their weights, the nearest first."""
+        """Terms within ``limit`` edits and their weights, the nearest first.
+
+        Only terms of the vocabulary that may be so near are looked at closely.
+        """
         n = edits(F.col("term"), term, limit)
         boost = 1 - F.col("n") / F.least(F.length("term"), F.lit(max(1, len(term))))
-        near = self.posted.select("term").distinct().withColumn("n", n).where("n is not null").withColumn("boost", boost)
+        near = self.vocabulary.select("term").where(may_be_near(F.col("term"), term, limit)).withColumn("n", n).where("n is not null").withColumn("boost", boost)
         return [(r["term"], r["boost"]) for r in near.where("boost > 0").orderBy(F.desc("boost"), "term").limit(EXPANSIONS).collect()]
 
     def clauses(self, query: str, fuzzy_edits: int) -> list[tuple[int, str, float]]:
@@ -169,28 +252,29 @@ class Corpus:
         The place of word ``i`` is its position less ``i``; the places of an
         occurrence lie within ``slop`` of each other.
         """
-        spark = self.docs.sparkSession
         if not words:
-            return spark.createDataFrame([], "doc_id long, score double")
-        wanted = spark.createDataFrame([(t, i) for i, t in enumerate(words)], "term string, i int")
-        rows = positions(self.docs).where(F.col("term").isin(sorted(set(words)))).join(wanted, "term")
-        lists = [F.collect_list(F.when(F.col("i") == i, F.col("pos") - i)).alias(f"p{i}") for i in range(len(words))]
-        placed = rows.groupBy("doc_id").agg(*lists)
+            return self.spark.createDataFrame([], "doc_id long, score double")
+        known = self.frequencies(words)
+
+        def places(word: str, i: int) -> Column:
+            # a document has one row for a term
+            return F.first(F.when(F.col("term") == word, F.transform("places", lambda p: p - i)), ignorenulls=True)
+
+        lists = [places(w, i).alias(f"p{i}") for i, w in enumerate(words)]
+        placed = self._postings(words).groupBy("doc_id").agg(F.first("n_tokens").alias("n_tokens"), *lists)
         for i in range(len(words)):
-            placed = placed.where(F.size(f"p{i}") > 0)
+            placed = placed.where(F.col(f"p{i}").isNotNull())
 
         def holds(low: Column) -> Column:
             each = [F.exists(f"p{i}", lambda p: p.between(low, low + slop)) for i in range(1, len(words))]
             return reduce(lambda x, y: x & y, each, F.lit(True))
 
         hits = F.filter("p0", lambda a: F.exists(F.sequence(a - slop, a), holds))
-        counted = placed.select("doc_id", F.size(hits).alias("tf")).where("tf > 0")
-        known = document_frequencies(self.posted.where(F.col("term").isin(sorted(set(words)))))
-        each = {r["term"]: r["df"] for r in known.collect()}  # a row for each word of the phrase
-        weight = sum(_idf(self.n, each.get(t, 0)) for t in words)
+        counted = placed.select("doc_id", "n_tokens", F.size(hits).alias("tf")).where("tf > 0")
+        weight = sum(_idf(self.n, known.get(t, 0)) for t in words)
         tf = F.col("tf")
         score = F.lit(weight) * tf / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.lit(float(self.mean))))
-        return counted.join(self.lengths, "doc_id").select("doc_id", score.alias("score"))
+        return counted.select("doc_id", score.alias("score"))
 
     def search_keyword(self, query: str, top_n: int = 5) -> DataFrame:
         """A query with AND, OR, NOT, + and -, quotes, ``~``, ``*``, ``?`` and brackets.
@@ -224,7 +308,8 @@ class Corpus:
             return self._phrase(query_terms(text), extra or 0)
         if kind == "wild":
             shape = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in text.lower()) + "$"
-            return self.posted.where(F.col("term").rlike(shape)).select("doc_id").distinct().withColumn("score", F.lit(1.0))
+            begin = re.split(r"[*?]", text.lower())[0]  # what it begins with is found by the order of terms
+            return self.posted.where(F.col("term").startswith(begin) & F.col("term").rlike(shape)).select("doc_id").distinct().withColumn("score", F.lit(1.0))
         if kind == "fuzzy":
             return self.scores([(0, t, w) for t, w in self.expand(text.lower(), extra if extra is not None else 2)]).select("doc_id", "score")
         words = query_terms(text)
@@ -232,14 +317,12 @@ class Corpus:
 
     def stored(self, hits: DataFrame) -> DataFrame:
         """Hits with all columns of their documents; absent values read ``N/A``."""
-        columns = [c for c in self.docs.columns if c not in ("doc_id", "text")]
+        columns = [c for c in self.docs.columns if c not in ("doc_id", "n_tokens")]
         texts = [F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("N/A")).alias(c) for c in columns]
         return hits.join(self.docs.select("doc_id", *texts), "doc_id").orderBy("rank")
 
 
 def _idf(n: int, df: int) -> float:
-    from math import log
-
     return log(1 + (n - df + 0.5) / (df + 0.5))
 
 

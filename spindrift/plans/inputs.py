@@ -114,13 +114,19 @@ def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select(_joined("https://www.example.at/p", c).alias("url"), html.alias("html"))
 
 
-#: Pages by the level at which they are first reached from page 1.
+#: Pages by the level at which they are first reached from page 1, to the last level.
+#: The queue of a breadth-first walk is kept as a list, so that a page is gone through once.
 REACHED_SQL = """
 WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer),
-r(c, depth) AS (
-  SELECT CAST(1 AS BIGINT), 0
-  UNION
-  SELECT CASE WHEN b = 0 THEN (c * 2) % n ELSE (c * 3 + 1) % n END, depth + 1 FROM r, n, (VALUES (0), (1)) AS v(b)
-  WHERE depth < {levels} AND c > 0
-), first AS (SELECT c, min(depth) AS depth FROM r GROUP BY c)
+{walk}
 """
+
+
+def walk_sql(start: int, without: str = "") -> str:
+    """``first(c, depth)``: pages in the order of levels, each level the links of the one before without what is known."""
+    left = f"list_filter(list_distinct(flatten(list_transform(level, lambda c: CASE WHEN c < n THEN [(c * 2) % n, (c * 3 + 1) % n] ELSE [] END))), lambda t: NOT list_contains(known, t){without})"
+    return f"""walk(level, known, depth, n) AS (
+  SELECT [CAST({start} AS BIGINT)], [CAST({start} AS BIGINT)], 0, n FROM n
+  UNION ALL
+  SELECT next, list_concat(known, next), depth + 1, n FROM (SELECT {left} AS next, known, depth, n FROM walk) WHERE len(next) > 0
+), first AS (SELECT unnest(level) AS c, depth FROM walk)"""

@@ -12,8 +12,10 @@ from spindrift.operators.index import Index, document_frequencies, postings, sta
 from spindrift.operators.listings import extract_listings, merged, nullified, typed
 from spindrift.operators.retrieval import Corpus
 from spindrift.plans import inputs
-from spindrift.plans.inputs import ARTICLES_SQL, FACTS_SQL, LISTINGS_SQL, REACHED_SQL, table
-from spindrift.schemas import LISTING_FIELDS, NUMERIC_FIELDS
+from spindrift.plans.inputs import ARTICLES_SQL, FACTS_SQL, LISTINGS_SQL, REACHED_SQL, table, walk_sql
+from spindrift.schemas import LISTING_FIELDS, NUMERIC_FIELDS, strings
+from spindrift.sources import io
+from spindrift.sources.shared import built_once, scratch, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +43,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents, which the first search writes."""
+    path = built_once(spark, "index", f"{sf_dir}/documents.parquet", lambda to: Index.build(documents(spark, sf_dir)).save(to))
+    return Index.load(spark, path)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The stored full-text index of the documents, which the first search writes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.col("n_chars").alias("n_chars_num"))
+    return Corpus.load(spark, built_once(spark, "corpus", f"{sf_dir}/documents.parquet", lambda to: Corpus(docs, path=to)))
+
+
 @query(TERMS_SQL + " SELECT doc_id, count(*) AS n_terms, count(DISTINCT term) AS n_distinct FROM t GROUP BY doc_id")
 def tokenize_terms(spark, sf_dir):
     each = documents(spark, sf_dir).select("doc_id", terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
@@ -82,22 +96,22 @@ WANTED = {"the": 2, "idiot": 1, "of": 1, "zzzunknown": 1}
 
 @query(tfidf_sql("ln(n / CAST(df AS DOUBLE))", WANTED))
 def tfidf_classic(spark, sf_dir):
-    return Index.build(documents(spark, sf_dir)).search(SEARCH)
+    return index(spark, sf_dir).search(SEARCH)
 
 
 @query(tfidf_sql("ln(1 + n / CAST(1 + df AS DOUBLE))", WANTED))
 def tfidf_smooth(spark, sf_dir):
-    return Index.build(documents(spark, sf_dir)).search(SEARCH, "smooth")
+    return index(spark, sf_dir).search(SEARCH, "smooth")
 
 
 @query(tfidf_sql("ln((n - df + 0.5) / (df + 0.5) + 1e-10)", WANTED))
 def tfidf_probabilistic(spark, sf_dir):
-    return Index.build(documents(spark, sf_dir)).search(SEARCH, "probabilistic")
+    return index(spark, sf_dir).search(SEARCH, "probabilistic")
 
 
 @query(tfidf_sql("ln(n / CAST(df AS DOUBLE))", {"zzzunknown": 1}))
 def tfidf_unknown_term(spark, sf_dir):
-    return Index.build(documents(spark, sf_dir)).search("zzzunknown")
+    return index(spark, sf_dir).search("zzzunknown")
 
 
 BATCH = ["the of", "idiot", "und der die"]
@@ -110,11 +124,27 @@ BATCH = ["the of", "idiot", "und der die"]
     + " r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s) SELECT * FROM r WHERE rank <= 5"
 )
 def tfidf_batch(spark, sf_dir):
-    return Index.build(documents(spark, sf_dir)).search_many(BATCH)
+    return index(spark, sf_dir).search_many(BATCH)
 
 
 # --- retrieval ----------------------------------------------------------------
 
+
+@query(
+    TERMS_SQL + ", l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS k FROM documents)"
+    + ", o AS (SELECT doc_id, w[i] AS term, i - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents), unnest(range(1, len(w) + 1)) AS u(i))"
+    + " SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf, CAST(any_value(k) AS INTEGER) AS n_tokens, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last, CAST(sum(pos) AS BIGINT) AS places, any_value(df) AS df FROM o JOIN l USING (doc_id) JOIN d USING (term) GROUP BY term, doc_id"
+)
+def corpus_files(spark, sf_dir):
+    """A full-text index written anew and read back, to the last place of a term."""
+    docs = documents(spark, sf_dir)
+    made = Corpus(docs, path=scratch(spark, "corpus"))
+    total = F.aggregate("places", F.lit(0).cast("long"), lambda x, y: x + y)
+    ends = F.element_at("places", 1).alias("first"), F.element_at("places", -1).alias("last")
+    return made.posted.join(made.vocabulary, "term").select("term", "doc_id", "tf", "n_tokens", *ends, total.alias("places"), "df")
+
+
+
 LENGTHS_SQL = ", l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS k FROM documents), m AS (SELECT avg(k) AS m FROM l)"
 BM25 = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * k / m))"
 TOP_SQL = " SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM ({}) ORDER BY rank LIMIT {}"
@@ -141,12 +171,12 @@ def all_words_sql(words: list[str], top: int = 10, limit: int = 1, docs: str = "
 
 @query(all_words_sql(["the", "of", "and"]))
 def bm25_and(spark, sf_dir):
-    return Corpus(documents(spark, sf_dir)).search("The of AND")
+    return corpus(spark, sf_dir).search("The of AND")
 
 
 @query(all_words_sql(["idoit", "the"]))
 def fuzzy_and(spark, sf_dir):
-    return Corpus(documents(spark, sf_dir)).search("idoit the")
+    return corpus(spark, sf_dir).search("idoit the")
 
 
 FUZZY_TERM_SQL = (
@@ -158,7 +188,7 @@ FUZZY_TERM_SQL = (
 
 @query(FUZZY_TERM_SQL)
 def fuzzy_term(spark, sf_dir):
-    return Corpus(documents(spark, sf_dir)).search_fuzzy("wrothless")
+    return corpus(spark, sf_dir).search_fuzzy("wrothless")
 
 
 def phrase_sql(a: str, b: str, slop: int, body: str | None = None) -> str:
@@ -175,12 +205,12 @@ def phrase_sql(a: str, b: str, slop: int, body: str | None = None) -> str:
 
 @query(phrase_sql("of", "the", 0))
 def phrase_exact(spark, sf_dir):
-    return Corpus(documents(spark, sf_dir)).search_phrase("of the")
+    return corpus(spark, sf_dir).search_phrase("of the")
 
 
 @query(phrase_sql("idiot", "the", 2))
 def phrase_slop(spark, sf_dir):
-    return Corpus(documents(spark, sf_dir)).search_phrase("idiot the", 2)
+    return corpus(spark, sf_dir).search_phrase("idiot the", 2)
 
 
 @query(
@@ -188,19 +218,17 @@ def phrase_slop(spark, sf_dir):
     + TOP_SQL.format("SELECT doc_id, round(s.score + coalesce(ph.score, 0), 6) AS score FROM s LEFT JOIN ph USING (doc_id)", 10))
 )
 def phrase_aware(spark, sf_dir):
-    return Corpus(documents(spark, sf_dir)).search_phrase_aware("the of")
+    return corpus(spark, sf_dir).search_phrase_aware("the of")
 
 
 @query(all_words_sql(["the", "idiot"], docs="WHERE doc_id IN (SELECT doc_id FROM documents WHERE lower(lang) = 'en' AND n_chars BETWEEN 500 AND 2500)"))
 def filtered_search(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.col("n_chars").alias("n_chars_num"))
-    return Corpus(docs).search_with_filters("the idiot", {"lang": "EN", "n_chars_range": (500, 2500)})
+    return corpus(spark, sf_dir).search_with_filters("the idiot", {"lang": "EN", "n_chars_range": (500, 2500)})
 
 
 @query(TOP_SQL.format("SELECT doc_id, CAST(1.0 AS DOUBLE) AS score FROM documents WHERE n_chars BETWEEN 300 AND 400", 10))
 def range_search(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("n_chars").alias("n_chars_num"))
-    return Corpus(docs).search_range("n_chars", 300.9, "400")
+    return corpus(spark, sf_dir).search_range("n_chars", 300.9, "400")
 
 
 @query(
@@ -209,7 +237,7 @@ def range_search(spark, sf_dir):
     + TOP_SQL.format("SELECT doc_id, round(score, 6) AS score FROM s", 5)
 )
 def keyword_bool(spark, sf_dir):
-    return Corpus(documents(spark, sf_dir)).search_keyword("+the +(idiot moron) -clown")
+    return corpus(spark, sf_dir).search_keyword("+the +(idiot moron) -clown")
 
 
 # --- listings -----------------------------------------------------------------
@@ -453,46 +481,109 @@ def ledger_tried(spark, sf_dir):
 
 
 def _checkpointed(spark: SparkSession):
-    """Reliable checkpoints in the session's folder, or in one made for a test."""
+    """Reliable checkpoints in the folder that all machines share."""
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return lambda df: df.checkpoint()
 
 
 PAGE = "'https://www.example.at/p' || c"
 
 
-@query(REACHED_SQL.format(levels=6) + f"SELECT {PAGE} AS url, depth FROM first")
+@query(REACHED_SQL.format(walk=walk_sql(1)) + f"SELECT {PAGE} AS url, depth FROM first")
 def frontier_bfs(spark, sf_dir):
     edges = crawl.page_links(inputs.link_pages(spark, sf_dir), HREF)
     roots = spark.createDataFrame([("https://www.example.at/p1",)], "url string")
-    return crawl.reached(edges, roots, 6, save=_checkpointed(spark))
+    return crawl.reached(edges, roots, save=_checkpointed(spark))
 
 
-@query(REACHED_SQL.format(levels=6) + f", page AS (SELECT c_custkey AS c FROM customer), ok AS (SELECT c, depth, row_number() OVER (ORDER BY depth, {PAGE}) AS k FROM first WHERE c % 3 = 0 AND c IN (SELECT c FROM page)), last AS (SELECT depth, {PAGE} AS url FROM ok WHERE k = 10) SELECT {PAGE} AS url, f.depth, f.c % 3 = 0 AND f.c IN (SELECT c FROM page) AS saved FROM first f LEFT JOIN last ON true WHERE last.url IS NULL OR f.depth < last.depth OR (f.depth = last.depth AND {PAGE} <= last.url)")
+@query(REACHED_SQL.format(walk=walk_sql(1)) + f", page AS (SELECT c_custkey AS c FROM customer), ok AS (SELECT c, depth, row_number() OVER (ORDER BY depth, {PAGE}) AS k FROM first WHERE c % 3 = 0 AND c IN (SELECT c FROM page)), last AS (SELECT depth, {PAGE} AS url FROM ok WHERE k = 10) SELECT {PAGE} AS url, f.depth, f.c % 3 = 0 AND f.c IN (SELECT c FROM page) AS saved FROM first f LEFT JOIN last ON true WHERE last.url IS NULL OR f.depth < last.depth OR (f.depth = last.depth AND {PAGE} <= last.url)")
 def crawl_saves(spark, sf_dir):
     job = crawl.CrawlJob("https://www.example.at/p1", "Austria", HREF, "plocha bytu", max_saves=12)
     state = crawl.CrawlState(downloaded_count=2, queue_items=[job.root_url])
-    return crawl.crawl(inputs.link_pages(spark, sf_dir), job, state, 6, _checkpointed(spark)).select("url", "depth", "saved")
-
+    return crawl.crawl(inputs.link_pages(spark, sf_dir), job, state, save=_checkpointed(spark)).select("url", "depth", "saved")
 
-RESUME_SQL = """
-WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer),
-r(c, depth) AS (
-  SELECT CAST(5 AS BIGINT), 0
-  UNION
-  SELECT t, depth + 1 FROM (SELECT CASE WHEN b = 0 THEN (c * 2) % n ELSE (c * 3 + 1) % n END AS t, depth, c FROM r, n, (VALUES (0), (1)) AS v(b)) WHERE depth < 5 AND c > 0 AND t NOT IN (20, 7)
-)
-"""
 
-
-@query(RESUME_SQL + f"SELECT {PAGE} AS url, min(depth) AS depth FROM r GROUP BY c")
+@query(REACHED_SQL.format(walk=walk_sql(5, " AND t NOT IN (20, 7)")) + f"SELECT {PAGE} AS url, depth FROM first")
 def frontier_resume(spark, sf_dir):
     edges = crawl.page_links(inputs.link_pages(spark, sf_dir), HREF)
     url = "https://www.example.at/p"
     roots = spark.createDataFrame([(url + "5",), (url + "7",)], "url string")
     visited = spark.createDataFrame([(url + c,) for c in ("20", "7")], "url string")
-    return crawl.reached(edges, roots, 5, visited, _checkpointed(spark))
+    return crawl.reached(edges, roots, visited=visited, save=_checkpointed(spark))
+
+
+CHAIN = "'https://www.example.at/n' || c"
+
+
+@query(f"SELECT {CHAIN} AS url, CAST(c AS INTEGER) AS depth, c % 5 = 4 AS saved FROM (SELECT n_nationkey AS c FROM nation) WHERE c <= 19")
+def crawl_chain(spark, sf_dir):
+    """A site where every page links to the next one alone, crawled until four pages are saved."""
+    c = F.col("n_nationkey")
+    text = F.concat(F.lit('<a href="/n'), (c + 1).cast("string"), F.lit('">next</a>'), F.when(c % 5 == 4, "<p>plocha bytu</p>").otherwise(""))
+    pages = table(spark, sf_dir, "nation").select(F.concat(F.lit("https://www.example.at/n"), c.cast("string")).alias("url"), text.alias("html"))
+    job = crawl.CrawlJob("https://www.example.at/n0", "Austria", HREF, "plocha bytu", max_saves=4)
+    return crawl.crawl(pages, job, save=_checkpointed(spark)).select("url", "depth", "saved")
+
+
+# --- files that are written and read back ---------------------------------------
+
+
+@query("SELECT page_id, url || chr(9) || '\"' AS url, html FROM pages")
+def tsv_files(spark, sf_dir):
+    """Texts with tabs, quotes and lines through a table of tab-separated values."""
+    path = scratch(spark, "tsv")
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.concat("url", F.lit('\t"')).alias("url"), "html")
+    io.write_tsv(rows, path)
+    return io.read_tsv(spark, path, strings(["page_id", "url", "html"])).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+
+
+@query("SELECT title, timestamp AS last_updated FROM (SELECT n_name AS title, TIMESTAMP '2020-01-01 00:00:00' AS timestamp FROM nation)")
+def xml_files(spark, sf_dir):
+    """Articles through an XML dump."""
+    path = scratch(spark, "xml")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), F.lit(0).alias("ns"), F.struct(F.lit("2020-01-01T00:00:00Z").alias("timestamp"), F.col("n_name").alias("text")).alias("revision"))
+    rows.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(path)
+    read = io.read_wiki_dump(spark, path)
+    return read.select("title", F.col("revision.timestamp").cast("timestamp_ntz").alias("last_updated"))
+
+
+@query(LEDGER_SQL + """SELECT property_url, country, html_path, saved FROM (SELECT *, row_number() OVER (PARTITION BY property_url, country ORDER BY ts, saved DESC, html_path) AS nth FROM e WHERE part < 2) WHERE nth = 1 UNION ALL
+    SELECT property_url, country, html_path, saved FROM (SELECT *, row_number() OVER (PARTITION BY property_url, country ORDER BY ts, saved DESC, html_path) AS nth FROM e WHERE part >= 2) x
+    WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.part < 2 AND o.property_url = x.property_url AND o.country = x.country)""")
+def ledger_files(spark, sf_dir):
+    """The ledger of two runs through its files."""
+    old, new = _ledgers(spark, sf_dir)
+    path = scratch(spark, "ledger")
+    io.append_ledger(old, path)
+    return io.append_ledger(new, path).select("property_url", "country", "html_path", "saved")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def parquet_files(spark, sf_dir):
+    """Rows through files partitioned by a column."""
+    path = scratch(spark, "parquet")
+    io.write_parquet(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, "c_mktsegment")
+    return spark.read.parquet(path).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT 'https://www.example.at/p' || c AS url, c % 3 = 0 AS visited FROM (SELECT c_custkey AS c FROM customer)")
+def state_files(spark, sf_dir):
+    """The state of a crawl through its file."""
+    path = scratch(spark, "state")
+    urls_of = [r["url"] for r in inputs.link_pages(spark, sf_dir).select("url").collect()]
+    seen = [u for u in urls_of if int(u.rsplit("p", 1)[1]) % 3 == 0]
+    job = crawl.CrawlJob("https://www.example.at/p1", "Austria", HREF)
+    state = crawl.CrawlState(3, seen, [u for u in urls_of if u not in set(seen)])
+    io.replace_text(crawl.state_json(spark, job, state), path)
+    _, again = crawl.state_from_json(io.read_crawl_state(spark, path))
+    return spark.createDataFrame([(u, True) for u in again.visited] + [(u, False) for u in again.queue_items], "url string, visited boolean")
+
+
+@query("SELECT page_id AS seq, url FROM (SELECT row_number() OVER (ORDER BY page_id) - 1 AS page_id, url FROM pages)")
+def url_files(spark, sf_dir):
+    """A list of URLs through a JSON array."""
+    path = scratch(spark, "urls")
+    listed = table(spark, sf_dir, "pages").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: x["url"])).alias("value"))
+    io.replace_text(listed, path)
+    return io.read_urls(spark, path).select(F.col("seq").cast("long").alias("seq"), "url")

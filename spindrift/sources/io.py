@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift import schemas
+from spindrift.sources.shared import discard, exists, file_system
 
 #: Tables of tab-separated values, as csv modules read and write them.
 TSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True, "maxCharsPerColumn": -1}
@@ -22,7 +25,9 @@ def read_pages(spark: SparkSession, *folders: str) -> DataFrame:
 
 
 def read_page(spark: SparkSession, path: str) -> DataFrame:
-    """One page; none if it cannot be read."""
+    """One page; none if it is not there or cannot be read."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schemas.PAGE)
     read = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     return read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("html"))
 
@@ -54,7 +59,34 @@ def read_crawl_jobs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.LEDGER).option("multiLine", True).json(path)
+    """The rows of a ledger: a JSON array in a file, or lines of JSON in the files of a folder.
+
+    A ledger that is missing or broken has no rows.
+    """
+    found = _current(spark, path)
+    if not found:
+        return spark.createDataFrame([], schemas.LEDGER)
+    # a file that is no JSON is one record without a URL
+    where, files = file_system(spark, found)
+    array = files.getFileStatus(where).isFile()
+    return spark.read.schema(schemas.LEDGER).option("multiLine", array).option("mode", "PERMISSIVE").json(found).where("property_url is not null")
+
+
+def write_ledger(rows: DataFrame, path: str) -> None:
+    """Put a ledger in the place of the one at ``path``, as lines of JSON in part files.
+
+    ``rows`` may come from the ledger that is replaced.
+    """
+    _replace(rows.select(*schemas.LEDGER.names), path, lambda out, to: out.json(to))
+
+
+def append_ledger(rows: DataFrame, path: str) -> DataFrame:
+    """Add those rows whose URL the country's ledger does not have, and return the ledger."""
+    from spindrift.operators.crawl import append_new
+
+    spark = rows.sparkSession
+    write_ledger(append_new(read_ledger(spark, path), rows), path)
+    return read_ledger(spark, path)
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +96,9 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_crawl_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True)
+    """The last state that was written whole; none if there is no such state."""
+    found = _current(spark, path)
+    return spark.read.text(found, wholetext=True) if found else spark.createDataFrame([], "value string")
 
 
 def write_tsv(rows: DataFrame, path: str, single_file: bool = False) -> None:
@@ -88,18 +122,37 @@ def write_pages(visits: DataFrame, path: str) -> None:
 
 
 def replace_text(rows: DataFrame, path: str) -> None:
-    """Write a one-column table beside ``path`` and then put it in its place.
+    """Put a one-column table in the place of the one at ``path``."""
+    _replace(rows.coalesce(1), path, lambda out, to: out.text(to))
+
+
+def _replace(rows: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
+    """Write a table beside ``path`` and then put it in its place.
 
-    The old state is there until the new one is whole.
+    A rename cannot replace a folder, so the old table is first renamed to
+    ``path.old`` and removed last. Wherever this stops, ``_current`` finds the
+    old table or the new one, whole.
     """
     spark = rows.sparkSession
-    fresh = f"{path}.tmp"
-    rows.coalesce(1).write.mode("overwrite").text(fresh)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(hadoop(path), True)
-    if not files.rename(hadoop(fresh), hadoop(path)):
-        raise OSError(f"cannot put {fresh} in the place of {path}")
+    fresh, old = f"{path}.tmp", f"{path}.old"
+    present = _current(spark, path)
+    write(rows.write.mode("overwrite"), fresh)
+    if present == path:
+        discard(spark, old)
+        _rename(spark, path, old)
+    _rename(spark, fresh, path)
+    discard(spark, old)
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    where, files = file_system(spark, source)
+    if not files.rename(where, file_system(spark, target)[0]):
+        raise OSError(f"cannot put {source} in the place of {target}")
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """Where the last whole table of ``path`` is."""
+    return next((p for p in (path, f"{path}.old") if exists(spark, p)), None)
 
 
 def preview(rows: DataFrame, n: int = 5, width: int = 500) -> list[dict]:

@@ -93,6 +93,31 @@ def test_ledger(spark):
     assert sorted(r[0] for r in crawl.known(first, links).collect()) == ["u", "v"]
 
 
+def test_ledger_files(spark, tmp_path):
+    path = str(tmp_path / "ledger.json")
+    assert io.read_ledger(spark, path).count() == 0
+    visits = spark.createDataFrame([("u", True), ("v", False)], "url string, saved boolean")
+    rows = crawl.ledger_rows(visits, "Austria", "pages", "2024-01-01 00:00:00")
+    for _ in range(2):
+        assert sorted(tuple(r) for r in io.append_ledger(rows, path).collect()) == sorted(tuple(r) for r in rows.collect())
+    (tmp_path / "broken.json").write_text('[{"property_url": "u", ')
+    assert io.read_ledger(spark, str(tmp_path / "broken.json")).count() == 0
+    (tmp_path / "array.json").write_text('[\n {"property_url": "u", "saved": true, "country": "Austria"},\n {"property_url": "v"}\n]')
+    assert [r["property_url"] for r in io.read_ledger(spark, str(tmp_path / "array.json")).collect()] == ["u", "v"]
+    assert io.append_ledger(rows, str(tmp_path / "broken.json")).count() == 2
+
+
+def test_state_survives_a_crash(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert io.read_crawl_state(spark, path).count() == 0 and io.read_page(spark, path + ".html").count() == 0
+    old, new = (spark.createDataFrame([(v,)], "value string") for v in ("old", "new"))
+    io.replace_text(old, path)
+    (tmp_path / "state").rename(tmp_path / "state.old")  # stopped between the renames
+    assert io.read_crawl_state(spark, path).first()["value"].strip() == "old"
+    io.replace_text(new, path)
+    assert io.read_crawl_state(spark, path).first()["value"].strip() == "new" and not (tmp_path / "state.old").exists()
+
+
 def test_stream_of_pages(spark, tmp_path):
     rows = [("a.html", "<title>x</title>", "2024-01-01 00:00:00"), ("a.html", "<title>x</title>", "2024-01-01 01:00:00"), ("b.html", "<title>y</title>", "2024-01-01 00:00:00")]
     pages = spark.createDataFrame(rows, "path string, html string, fetched string").selectExpr("path", "html", "cast(fetched as timestamp) fetched")

@@ -7,8 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators.index import Index
-from spindrift.operators.retrieval import Corpus, edits, within
+from spindrift.operators.index import Index, ordinals
+from spindrift.operators.retrieval import Corpus, edits, may_be_near, within
 
 TEXTS = ["Trnava house buy energy_class A", "flat in Trnava, to rent", "house house garden", "", None, "Bratislava flat", "big red house by the sea"]
 
@@ -52,20 +52,50 @@ def test_index_on_disk(spark, docs, tmp_path):
     assert "PushedFilters: [In(term, [a,b])" in plan
 
 
+@pytest.fixture(scope="module")
+def corpus(docs):
+    return Corpus(docs)
+
+
+def test_documents_without_ids(spark, tmp_path):
+    rows = spark.range(0, 50, 1, 7).selectExpr("'word ' || id as text")
+    rows.write.parquet(str(tmp_path / "in"))
+    read = spark.read.parquet(str(tmp_path / "in"))
+    made = ordinals(read).collect()
+    assert [r["doc_id"] for r in made] == list(range(50))
+    assert [r["text"] for r in made] == [r["text"] for r in read.collect()]
+    assert ordinals(read.where("text = 'word 31'")).first()["doc_id"] == 0 and ordinals(read.limit(0)).count() == 0
+    assert Index.build(read, id_col=None).search("31").first()["doc_id"] == next(r["doc_id"] for r in made if r["text"] == "word 31")
+
+
+def test_corpus_on_disk(spark, docs, corpus, tmp_path):
+    Corpus(docs, path=str(tmp_path / "c"))
+    again = Corpus.load(spark, str(tmp_path / "c"))
+    assert (again.n, again.mean) == (corpus.n, corpus.mean) == (len(TEXTS), pytest.approx(sum(len(re.findall(r"\w+", t or "")) for t in TEXTS) / len(TEXTS)))
+    for query in ("house trnava", "hosue"):
+        assert [tuple(r) for r in again.search(query).collect()] == [tuple(r) for r in corpus.search(query).collect()]
+    empty = Corpus(docs.limit(0))
+    assert empty.search("house").count() == empty.search_phrase("red house").count() == empty.search_keyword("+house fl*").count() == 0
+
+
+def test_searches_read_their_terms_only(corpus):
+    plan = corpus.search_phrase("big red")._jdf.queryExecution().toString()
+    assert "In(term, [big,red])" in plan and "text" not in plan.split("== Physical Plan ==")[1]
+    assert "StringStartsWith(term,tr)" in corpus.search_keyword("tr*")._jdf.queryExecution().toString()
+
+
 def ids(rows):
     return [r["doc_id"] for r in rows.orderBy("rank").collect()]
 
 
-def test_every_word_must_be_found(docs):
-    corpus = Corpus(docs)
+def test_every_word_must_be_found(corpus):
     assert ids(corpus.search("house trnava")) == [0]
     assert ids(corpus.search("hosue tranva")) == [0]
     assert ids(corpus.search("house nowhere")) == []
     assert set(ids(corpus.search("flat"))) == {1, 5}
 
 
-def test_phrases(docs):
-    corpus = Corpus(docs)
+def test_phrases(corpus):
     assert ids(corpus.search_phrase("red house")) == [6]
     assert ids(corpus.search_phrase("big house")) == []
     assert ids(corpus.search_phrase("big house", slop=1)) == [6]
@@ -93,8 +123,8 @@ def test_phrases(docs):
         ("((house", {0, 2, 6}),
     ],
 )
-def test_keyword_queries(docs, query, found):
-    assert set(ids(Corpus(docs).search_keyword(query, 10))) == found
+def test_keyword_queries(corpus, query, found):
+    assert set(ids(corpus.search_keyword(query, 10))) == found
 
 
 def test_filters_and_ranges(spark):
@@ -113,4 +143,6 @@ def test_edit_distance(spark):
     for limit in (1, 2):
         got = {r["w"]: r["d"] for r in rows.select("w", edits(F.col("w"), "abcd", limit).alias("d")).collect()}
         assert got == {w: within(w, "abcd", limit) for w in words}
+        near = {r["w"] for r in rows.where(may_be_near(F.col("w"), "abcd", limit)).collect()}
+        assert near >= {w for w, d in got.items() if d is not None}
     assert within("acbd", "abcd", 1) == 1 and within("badc", "abcd", 2) == 2
