@@ -58,21 +58,24 @@ def signatures(bits: int, tables: int):
         width = vectors.map(len)
         for size in width.unique():
             rows = np.nonzero((width == size).to_numpy())[0]
-            x = np.stack([vectors.iloc[i] for i in rows])
-            # scaled first, so that very large parts do not overflow
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            side = (x @ _hyperplanes(int(size), bits, tables) > 0).reshape(len(x), tables, bits)
-            keys = (side @ (1 << np.arange(bits, dtype=np.int64))) + (np.int64(size) << np.int64(bits))
-            for i, k in zip(rows, keys, strict=True):
+            for i, k in zip(rows, _keys(np.stack([vectors.iloc[i] for i in rows]).astype(float), bits, tables), strict=True):
                 out[i] = k
         return pd.Series(out)
 
     return of
 
 
+def _keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The key of each row in each table."""
+    # scaled first, so that very large parts do not overflow
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    side = (x @ _hyperplanes(x.shape[1], bits, tables) > 0).reshape(len(x), tables, bits)
+    return side @ (1 << np.arange(bits, dtype=np.int64)) + (np.int64(x.shape[1]) << np.int64(bits))
+
+
 def _units(column: pa.Array) -> np.ndarray:
     width = len(column[0])
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -158,7 +161,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     nodes, _ = materialize(distinct_vectors(vectors, id_col, vector_col), "vectors")
     bits, tables = plan_tables(nodes.count(), threshold, recall)
     filed = nodes.select("rep", "copies", "v", signatures(bits, tables)("v").alias("keys"))
-    placed = filed.select("*", F.posexplode("keys").alias("number", "key"))
+    # what goes to every bucket is kept small: sides without the width, and vectors as they were stored
+    stored = F.col("v").cast("array<float>") if dict(vectors.dtypes)[vector_col] == "array<float>" else F.col("v")
+    sides = F.transform("keys", lambda x: x.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int"))
+    placed = filed.select("rep", "copies", stored.alias("v"), sides.alias("keys"), F.posexplode("keys").alias("number", "key"))
     sizes = filed.select(F.posexplode("keys").alias("number", "key")).groupBy("number", "key").count()
     hot, _ = materialize(sizes.where(F.col("count") > cell).withColumnsRenamed({"number": "h_number", "key": "h_key"}), "hot-buckets")
     blocks = F.coalesce(F.ceil(F.col("count") / cell), F.lit(1)).cast("int")
@@ -180,8 +186,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     )
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    rows = rows.withColumn("key", F.when(F.col("id").isNotNull() & usable(F.col("v")), F.col("v")))
-    out = rows.join(known, F.col("key") == F.col("k_v"), "left")
+    able = F.col("id").isNotNull() & usable(F.col("v"))
+    # the others stay where they are, and are not sent to one task by a key they all lack
+    out = rows.where(able).join(known, F.col("v") == F.col("k_v"), "left").select("id", "links", "component")
+    out = out.unionByName(rows.where(~able).select("id", F.lit(None).cast("long").alias("links"), F.lit(None).cast("long").alias("component")))
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col),

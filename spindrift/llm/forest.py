@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -98,33 +99,35 @@ class Forest:
     def search(self, x: np.ndarray, sizes: np.ndarray, budget: float) -> list[np.ndarray]:
         """Leaves, of all trees in one numbering, that each query visits.
 
-        All trees share one priority queue. Its key is the squared distance by
-        which the path to a node is on the wrong side of the cuts; it never
-        falls along a path, so leaves leave the queue in the order of their
-        own keys, and the order of the queue is a sort of the leaves. A query
-        visits leaves until they hold ``budget`` rows.
+        All trees share one priority queue, which begins with their roots. Its
+        key is the squared distance by which the path to a node is on the wrong
+        side of the cuts. The node with the least key leaves the queue: an inner node
+        puts its two children there, a leaf is visited. A query is through when
+        its leaves hold ``budget`` rows, and no more nodes are looked at.
         """
-        keys = []
-        for directions, cuts, children, count in self.trees:
-            leaf = np.zeros((len(x), count))
-            if len(directions):
-                node = np.zeros((len(x), len(directions)))
-                gap = x @ directions.T - cuts
-                # parents come before their children
-                for n in range(len(directions)):
-                    for side in (0, 1):
-                        far = (gap[:, n] >= 0) != bool(side)
-                        key = node[:, n] + np.where(far, gap[:, n] ** 2, 0)
-                        child = children[n, side]
-                        if child >= 0:
-                            node[:, child] = key
-                        else:
-                            leaf[:, -1 - child] = key
-            keys.append(leaf)
-        order = np.argsort(np.concatenate(keys, axis=1), axis=1, kind="stable")
-        held = np.cumsum(sizes[order], axis=1)
-        visits = (held < budget).sum(axis=1) + 1
-        return [order[i, : visits[i]] for i in range(len(x))]
+        gaps = [(x @ directions.T - cuts).tolist() for directions, cuts, _, _ in self.trees]
+        children = [c.tolist() for _, _, c, _ in self.trees]
+        starts = np.r_[0, np.cumsum(self.leaves)].tolist()
+        rows = sizes.tolist()
+        pop, push = heapq.heappop, heapq.heappush
+        out = []
+        for i in range(len(x)):
+            queue = [(0.0, t, 0 if children[t] else -1) for t in range(len(self.trees))]
+            held, visited = 0.0, []
+            while queue and held < budget:
+                key, t, node = pop(queue)
+                if node < 0:
+                    leaf = starts[t] - 1 - node
+                    visited.append(leaf)
+                    held += rows[leaf]
+                    continue
+                gap = gaps[t][i][node]
+                left, right = children[t][node]
+                far = key + gap * gap
+                push(queue, (far if gap >= 0 else key, t, left))
+                push(queue, (key if gap >= 0 else far, t, right))
+            out.append(np.array(visited, np.int64))
+        return out
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -142,6 +145,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], axis=1)
 
 
+def _nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` rows of ``x`` with the largest products with each row of ``q``, and these; ties go to the first.
+
+    The matrix product only chooses what is scored exactly: so many rows more
+    than ``k`` that all within its rounding error of the last one are among them.
+    """
+    rough = q @ x.T
+    n = rough.shape[1]
+    error = 1e-14 * q.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+    more = k + 4
+    while True:
+        m = min(n, more)
+        chosen = np.sort(np.argpartition(-rough, m - 1, axis=1)[:, :m], axis=1)
+        values = -np.sort(-np.take_along_axis(rough, chosen, axis=1), axis=1)
+        if m == n or (values[:, -1] < values[:, min(k, m) - 1] - 2 * error).all():
+            break
+        more *= 4
+    exact = np.einsum("ijk,ik->ij", x[chosen], q)
+    order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(chosen, order, axis=1), np.take_along_axis(exact, order, axis=1)
+
+
 class Best:
     """The best rows so far of each query that a task has met."""
 
@@ -156,10 +181,8 @@ class Best:
             more = max(lack, len(self.scores))
             self.scores = np.concatenate([self.scores, np.full((more, self.k), -np.inf)])
             self.reps = np.concatenate([self.reps, np.full((more, self.k), -1)])
-        # ties go to the smaller id, in whose order rows come; noise of the product is rounded off
-        near = np.argsort(-np.round(q @ x.T, 12), axis=1, kind="stable")[:, : self.k]
         own = np.arange(len(q))[:, None]
-        exact = np.einsum("ijk,ik->ij", x[near], q)
+        near, exact = _nearest(q, x, self.k)
         found = reps[near]
         known = (found[:, :, None] == self.reps[at][:, None, :]).any(axis=2)
         scores = np.concatenate([self.scores[at], np.where(known, -np.inf, exact)], axis=1)
@@ -217,8 +240,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     every row. Equal vectors are searched once, with the ids of the first
     ``k + 1`` of them, which are all that can be among the nearest.
 
-    Null, zero and non-finite vectors and null ids take no part. Vectors must
-    otherwise have one length. Repeated rows count once; an id with several
+    Null, zero and non-finite vectors and null ids take no part. Vectors of
+    different lengths have no product and are searched apart. Repeated rows count once; an id with several
     vectors stands for each of them and never answers itself. An empty table
     gives an empty result. Other columns are not read.
     """
@@ -228,12 +251,21 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     first = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
     few = rows.withColumn("nth", first).where(F.col("nth") <= k + 1)
     nodes, _ = materialize(few.groupBy("v").agg(F.min("id").alias("rep"), F.array_sort(F.collect_set("id")).alias("ids")), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))
-    count, longest, width, shortest = nodes.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("v")), F.min(F.size("v"))).first()
-    if width != shortest:
-        raise ValueError("vectors differ in length")
-    if not count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    answers = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    widths = sorted(r["width"] for r in nodes.select(F.size("v").alias("width")).distinct().collect())
+    for width in widths:
+        alike = F.size("v") == width
+        found = _search(rows.where(alike), nodes.where(alike), width, k, every, share, trees, leaf)
+        answers = found if len(widths) == 1 else answers.unionByName(found)
+    return answers
+
+
+def _search(rows: DataFrame, nodes: DataFrame, width: int, k: int, every: int, share: float, trees: int, leaf: int) -> DataFrame:
+    """``nearest`` over vectors of one length; ``nodes(v, rep, ids)`` are the distinct ones."""
+    spark = rows.sparkSession
+    largest = F.array_max(F.transform("v", F.abs))  # taken out, so that squares do not overflow
+    norm = largest * F.sqrt(F.aggregate(F.transform("v", lambda y: y / largest), F.lit(0.0), lambda s, y: s + y * y))
+    count, longest = nodes.agg(F.count(F.lit(1)), F.max(norm)).first()
     most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * (width + 1))))
     order = F.xxhash64("rep")
     likely = nodes.where(F.pmod(order, F.lit(1 << 20)) < (1 << 20) * min(1.0, (2.0 * most + 1000) / count))

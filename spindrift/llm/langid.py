@@ -14,11 +14,12 @@ from spindrift.llm.shared import claim, held_out, table, text_bytes
 
 #: Longest context in bytes.
 ORDER = 4
-#: Training sample: documents of a language, and the longest text that is taken.
+#: Training sample: documents of a language, and characters that are taken of each,
+#: of a longer text from a place that its hash gives.
 MAX_DOCS = 800
 MAX_TEXT = 100_000
-#: Languages at most, the most frequent first; bounds the model.
-MAX_LANGUAGES = 256
+#: Bytes of the sample; every language has an equal part, and one document at least.
+SAMPLE_BYTES = 256 << 20
 #: Bytes scored at a time, and bytes of a worker's table of finished grams.
 PIECE = 1 << 18
 TABLE_BYTES = 48 << 20
@@ -162,24 +163,30 @@ class ContextTrees:
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_text: int = MAX_TEXT) -> DataFrame:
-    """At most ``max_docs`` whole texts of each language, the same on every run.
+    """At most ``max_docs`` texts of each language, the same on every run.
 
-    Rows are taken in the order of a hash of id and text. A first pass over
-    the labels sets a cut on the hash, so that later steps handle a small
-    multiple of the sample and not the corpus.
+    Rows are taken in the order of a hash of id and text, as long as the
+    language's part of ``SAMPLE_BYTES`` lasts. Texts over ``max_text``
+    characters give a piece of that length. A first pass over the labels sets a
+    cut on the hash, so that later steps handle a small multiple of the sample
+    and not the corpus.
     """
     label = F.col(lang_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), label.alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    rows = rows.where(~held_out("id", 4)).where(F.octet_length("text").between(1, max_text))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = rows.where(~held_out("id", 4)).where(F.octet_length("text") > 0)
+    # a row for each language, as the model has a tree for each
+    sizes = rows.groupBy("lang").count().collect()
     order = F.xxhash64("id", "text")
-    ranked = rows.where("false").withColumn("order", order)
-    if sizes:
-        cut = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * max_docs / r["count"] + 1000.0 / r["count"]))])
-        share = F.pmod(order, F.lit(1 << 20)) / float(1 << 20)
-        ranked = rows.withColumn("order", order).where(share < cut[F.col("lang")])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
-    return ranked.withColumn("rank", rank).where(F.col("rank") <= max_docs).select("lang", "text")
+    begin = F.when(F.length("text") > max_text, F.pmod(order, F.length("text") - max_text + 1)).otherwise(0).cast("int") + 1
+    share = F.pmod(order, F.lit(1 << 20)) / float(1 << 20)
+    cuts = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * max_docs + 1000.0) / r["count"])) for r in sizes], "l_lang string, cut double")
+    ranked = rows.join(F.broadcast(cuts), F.col("lang") == F.col("l_lang")).where(share < F.col("cut"))
+    ranked = ranked.select("lang", "id", order.alias("order"), F.col("text").substr(begin, F.lit(max_text)).alias("text"))
+    by = Window.partitionBy("lang").orderBy("order", "id")
+    before = F.coalesce(F.sum(F.octet_length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = SAMPLE_BYTES // max(len(sizes), 1)
+    few = ranked.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max_docs)
+    return few.withColumn("before", before).where(F.col("before") < room).select("lang", "text")
 
 
 def fit(docs: DataFrame, **columns) -> ContextTrees:
@@ -224,7 +231,7 @@ def identify(docs: DataFrame, model: ContextTrees | None = None, id_col: str = "
     Learns from rows whose language is known and which are not held out, then
     scores whole texts. Null and letterless texts are ``und``; repeated rows
     each come back; a null id is held out; an empty table gives an empty
-    result. Other columns are not read. Equal code lengths go to the language
+    result. Very long texts are read piece by piece, whole. Other columns are not read. Equal code lengths go to the language
     that sorts first.
     """
     model = model or fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
@@ -233,7 +240,13 @@ def identify(docs: DataFrame, model: ContextTrees | None = None, id_col: str = "
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is identified, with their columns."""
+    """The rows of ``docs`` whose language is identified, with their columns.
+
+    Null, empty and letterless texts go; texts of any length are read whole;
+    repeated rows all stay or all go; rows with a null id are judged like
+    others; an empty table stays empty, and columns of any name are returned
+    as they are.
+    """
     lang, score = predictions(docs, fit(docs))
     return docs.where((lang != UNKNOWN) & (score >= min_score))
 

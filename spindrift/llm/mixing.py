@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from spindrift.llm.shared import table
 
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 1 << 16
-#: Weights are rounded to this many parts; it bounds the period of a schedule.
+#: Weights that need a longer period than this many slots are rounded to it.
 PARTS = 2000
 #: Sources at most; their schedule is worked out on the driver.
 MAX_SOURCES = 1000
@@ -44,10 +45,24 @@ def period(shares: list[int]) -> list[list[int]]:
     return slots
 
 
-def rounded(weights: list[float], parts: int = PARTS) -> list[int]:
-    """Whole shares in proportion to ``weights``, none of them zero."""
-    total = sum(Fraction(w) for w in weights)
-    return [max(1, round(Fraction(w) / total * parts)) for w in weights]
+def whole_shares(weights: list[float], parts: int = PARTS) -> list[int]:
+    """Whole shares in the proportion of ``weights``.
+
+    They are exact if ``parts`` slots or fewer can hold that proportion, as
+    for equal weights, and rounded to ``parts`` slots otherwise, positive
+    weights to one slot at least. A weight of zero has no share.
+    """
+    exact = [Fraction(w).limit_denominator(10**6) for w in weights]
+    if any(w < 0 for w in exact):
+        raise ValueError("a weight is negative")
+    total = sum(exact)
+    if not total:
+        return [0] * len(exact)
+    shares = [w / total for w in exact]
+    period_of = math.lcm(*(w.denominator for w in shares))
+    if period_of <= max(parts, len(shares)):
+        return [int(w * period_of) for w in shares]
+    return [max(1, round(w * parts)) if w else 0 for w in shares]
 
 
 def phases(shares: list[int], blocks: list[int]) -> list[dict]:
@@ -59,8 +74,10 @@ def phases(shares: list[int], blocks: list[int]) -> list[dict]:
     many phases as sources.
     """
     out, done, begin = [], [0] * len(shares), 0
-    while active := [i for i in range(len(shares)) if done[i] < blocks[i]]:
-        parts = [shares[i] for i in active]
+    while left := [i for i in range(len(shares)) if done[i] < blocks[i]]:
+        # sources without a weight come when all others are through, in equal parts
+        active = [i for i in left if shares[i]] or left
+        parts = [shares[i] or 1 for i in active]
         slots, total = period(parts), sum(parts)
 
         def slot_of(k: int, j: int, slots: list = slots, parts: list = parts, total: int = total) -> int:
@@ -84,6 +101,7 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     in the order of a hash of id and text, are cut into blocks of ``block_bytes`` of
     text (a document belongs to the block it starts in). ``weights`` are the
     targets by source, 1 for those not named, so all are equal by default; a
+    source with weight 0 comes when the others have run out, and a
     null source is a source of its own. No row is dropped or repeated. Null
     and empty texts take no room and stay with their neighbours; rows that
     are alike in every respect stand in either order; an empty table gives an
@@ -92,21 +110,24 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")).cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), size.alias("size"))
+    # counted first: what follows keeps a row for each source on the driver
+    named = rows.select("source").distinct().limit(MAX_SOURCES + 1).count()
+    if named > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; group the small ones")
     placed = running_sum(rows, ["source", "h", "id"], "size", "start", group="source")
     placed = placed.withColumn("block", F.floor(F.col("start") / block_bytes))
-    last = placed.groupBy("source").agg(F.max("block").alias("last")).limit(MAX_SOURCES + 1).collect()
-    if len(last) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    last = placed.groupBy("source").agg(F.max("block").alias("last")).collect()
     # null first, then by name: the order ties are resolved in
     last.sort(key=lambda r: (r["source"] is not None, r["source"] or ""))
-    shares = rounded([(weights or {}).get(r["source"], 1.0) for r in last]) if last else []
+    shares = whole_shares([(weights or {}).get(r["source"], 1.0) for r in last]) if last else []
     plan = [(last[p["source"]]["source"], p["from"], p["to"], p["begin"], p["share"], p["total"], p["slots"]) for p in phases(shares, [r["last"] + 1 for r in last]) if p["to"] > p["from"]]
     kind = "p_source string, p_from long, p_to long, p_begin long, p_share long, p_total long, p_slots array<long>"
     plan_df = spark.createDataFrame(plan, kind)
     inside = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("p_from")) & (F.col("block") < F.col("p_to"))
     j = F.col("block") - F.col("p_from")
     slot = F.col("p_begin") + F.floor(j / F.col("p_share")) * F.col("p_total") + F.element_at("p_slots", (j % F.col("p_share") + 1).cast("int"))
-    # the plan has at most PARTS slots and two phases a source on average
+    # a phase has a row for each source that is left and PARTS slots in all; there is a phase
+    # for each source at most, so MAX_SOURCES bounds the plan
     return placed.join(F.broadcast(plan_df), inside).select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),

@@ -5,7 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.shared import held_out
+from spindrift.llm.shared import discard, held_out, materialize
+
+
+#: Bytes of text that a model learns from at most.
+MAX_BYTES = 256 << 20
+
+
+def within_bytes(sample: DataFrame, max_bytes: int = MAX_BYTES) -> list:
+    """The rows of a sample, in the order of the hash that it was taken in, as long as the bytes last; one at least.
+
+    The sample is written first, so the driver sees its lengths before it asks for a text.
+    """
+    rows, path = materialize(sample, "sample")
+    order = F.xxhash64("id")
+    sizes = rows.select("id", F.octet_length("text").alias("size"), order.alias("order")).collect()
+    sizes.sort(key=lambda r: (r["order"], r["id"]))
+    held, last = 0, None
+    for r in sizes:
+        if last is not None and held + r["size"] > max_bytes:
+            break
+        held, last = held + r["size"], (r["order"], r["id"])
+    if last is None:
+        return []
+    taken = rows.where((order < last[0]) | ((order == last[0]) & (F.col("id") <= last[1]))).collect()
+    discard(sample.sparkSession, path)
+    return taken
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

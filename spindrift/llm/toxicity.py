@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.sampling import labelled_sample
+from spindrift.llm.sampling import labelled_sample, within_bytes
 from spindrift.llm.shared import claim, held_out, table, text_bytes
 
 #: Labelled documents to learn from.
@@ -94,6 +94,20 @@ def best_bag(values: np.ndarray) -> tuple[float, int]:
     return float(means[at]), at
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values (of 32 bits), the place of each element's value among them, and the
+    elements in the order of their values with the start of each value."""
+    # two passes over 16 bits each, which numpy sorts by counting
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    order = np.take(order, np.argsort((np.take(values, order) >> 16).astype(np.uint16), kind="stable"))
+    ordered = np.take(values, order)
+    first = np.r_[True, ordered[1:] != ordered[:-1]]
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(first) - 1
+    starts = np.nonzero(first)[0]
+    return ordered[starts], place, order, starts
+
+
 class SubwordSoftmax:
     """N-gram vectors and a two-class softmax, trained jointly.
 
@@ -144,29 +158,32 @@ class SubwordSoftmax:
             for lo in range(0, len(todo), 64):
                 part = todo[lo : lo + 64]
                 bags = [docs[i][where[i] : where[i] + BAG] for i in part]
-                flat = np.concatenate(bags)
                 sizes = np.array([len(b) for b in bags])
-                lengths = count[flat]
-                index = np.repeat(begin[flat] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-                grams = bucket[index]
-                share = (1.0 / (np.repeat(sizes, sizes) * np.maximum(lengths, 1))).astype(np.float32)
-                weight = np.repeat(share, lengths)
-                of_bag = np.repeat(np.repeat(np.arange(len(part)), sizes), lengths)
-                edges = np.searchsorted(of_bag, np.arange(len(part)))
-                mean = np.add.reduceat(self.vectors[grams] * weight[:, None], edges, axis=0)
+                # each word is looked up once in a step, however many bags it is in
+                words, turn, grouped, at_word = _runs(np.concatenate(bags))
+                lengths = np.maximum(count[words], 1)
+                ends = np.cumsum(lengths)
+                grams = bucket[np.repeat(begin[words] - (ends - lengths), lengths) + np.arange(ends[-1])]
+                word = np.add.reduceat(np.take(self.vectors, grams, axis=0), ends - lengths, axis=0) / lengths[:, None].astype(np.float32)
+                of_bag = np.repeat(np.arange(len(part)), sizes)
+                share = (1.0 / sizes).astype(np.float32)
+                mean = np.add.reduceat(np.take(word, turn, axis=0), np.cumsum(sizes) - sizes, axis=0) * share[:, None]
                 logit = mean @ self.out + self.bias
                 chance = np.exp(logit - logit.max(1, keepdims=True))
                 chance /= chance.sum(1, keepdims=True)
                 chance[np.arange(len(part)), labels[part]] -= 1
-                down = chance @ self.out.T
+                down = (chance @ self.out.T * share[:, None]).astype(np.float32)
                 grad_o = mean.T @ chance
                 squares_o += grad_o**2
                 self.out -= 0.3 * grad_o / np.sqrt(squares_o)
                 self.bias -= 0.02 * chance.mean(0)
-                rows, inverse = np.unique(grams, return_inverse=True)
-                grad_v = np.stack([np.bincount(inverse, weights=weight * down[of_bag, k], minlength=len(rows)) for k in range(WIDTH)], 1)
-                squares_v[rows] += (grad_v**2).mean(1)
-                self.vectors[rows] -= 0.3 * grad_v / np.sqrt(squares_v[rows])[:, None]
+                grad_w = np.add.reduceat(np.take(down, np.take(of_bag, grouped), axis=0), at_word, axis=0) / lengths[:, None].astype(np.float32)
+                rows, _, grouped, at_row = _runs(grams)
+                of_word = np.take(np.repeat(np.arange(len(words)), lengths), grouped)
+                grad_v = np.add.reduceat(np.take(grad_w, of_word, axis=0), at_row, axis=0)
+                squares = np.take(squares_v, rows) + np.einsum("ij,ij->i", grad_v, grad_v) / WIDTH
+                squares_v[rows] = squares
+                self.vectors[rows] = np.take(self.vectors, rows, axis=0) - grad_v * (0.3 / np.sqrt(squares))[:, None]
         value = self._values(owner, bucket, count)
         raw = np.array([best_bag(value[d])[0] for d in docs]) + float(self.bias[1] - self.bias[0])
         self._calibrate(raw[held] if (labels[held] == 1).sum() >= 20 else raw, labels[held] if (labels[held] == 1).sum() >= 20 else labels)
@@ -236,7 +253,7 @@ class SubwordSoftmax:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> SubwordSoftmax:
-    rows = sorted((r["id"], r["label"], r["text"]) for r in labelled_sample(docs, labels, "toxic", max_rows).collect())
+    rows = sorted((r["id"], r["label"], r["text"]) for r in within_bytes(labelled_sample(docs, labels, "toxic", max_rows)))
     return SubwordSoftmax([r[2].encode() for r in rows], np.array([r[1] for r in rows], int))
 
 
@@ -255,8 +272,8 @@ def score_column(spark: SparkSession, model: SubwordSoftmax, text_col: str = "te
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, held_out, score, predicted)`` for every row of ``docs``.
 
-    Null texts are scored as empty ones. A null id is held out. Repeated rows
-    each come back. With labels of one kind only, or none, all rows score as
+    Null texts are scored as empty ones, texts of any length whole. A null id
+    is held out. Repeated rows each come back. With labels of one kind only, or none, all rows score as
     that kind (clean if there are none). Empty tables give empty results.
     Other columns are not read.
     """

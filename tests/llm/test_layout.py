@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -58,6 +59,49 @@ def test_phases_place_every_block(given_):
     assert [len(t) for t in taken] == list(blocks) and slots == set(range(sum(blocks)))
 
 
+def edf_by_force(shares, blocks):
+    """Slot of every block, one slot at a time: of the released blocks the one due first."""
+    done, out, begin, slot = [0] * len(shares), {}, 0, 0
+    base = done.copy()
+    mixed = [i for i in range(len(shares)) if blocks[i] and shares[i]] or [i for i in range(len(shares)) if blocks[i]]
+    while mixed:
+        share = {i: Fraction(shares[i] or 1) / sum(shares[k] or 1 for k in mixed) for i in mixed}
+        due = {i: -(-(done[i] - base[i] + 1) // share[i]) for i in mixed if (done[i] - base[i]) // share[i] <= slot - begin}
+        i = min(due, key=lambda k: (due[k], k))
+        out[i, done[i]] = slot
+        done[i] += 1
+        slot += 1
+        if done[i] == blocks[i]:  # the others go on from here
+            base, begin = done.copy(), slot
+            left = [k for k in range(len(shares)) if done[k] < blocks[k]]
+            mixed = [k for k in left if shares[k]] or left
+    return out
+
+
+def test_whole_shares():
+    assert mixing.whole_shares([1.0] * 3) == [1, 1, 1] and mixing.whole_shares([0.5, 0.3, 0.2]) == [5, 3, 2]
+    assert mixing.whole_shares([0.0, 2.0, 1.0]) == [0, 2, 1] and mixing.whole_shares([0.0, 0.0]) == [0, 0]
+    assert mixing.whole_shares([1.0, 1e-5], 100) == [100, 1]
+    with pytest.raises(ValueError, match="negative"):
+        mixing.whole_shares([1.0, -1.0])
+
+
+@pytest.mark.parametrize("weights", [{}, {"a": 3.0, "b": 0.5, "c": 0.0}, {"a": 0.0, "b": 0.0, "c": 0.0, None: 0.0}])
+def test_slots_equal_earliest_deadline_first(spark, weights):
+    rows = [(k, s, "x" * (30 + k % 40)) for k, s in enumerate("a" * 60 + "b" * 25 + "c" * 9)] + [(100 + k, None, "y" * 50) for k in range(5)]
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights, block_bytes=100).collect()
+    names = [None, "a", "b", "c"]
+    blocks = [1 + max(r["block"] for r in got if r["source"] == n) for n in names]
+    want = edf_by_force(mixing.whole_shares([weights.get(n, 1.0) for n in names]), blocks)
+    assert len(got) == len(rows) and all(r["slot"] == want[names.index(r["source"]), r["block"]] for r in got)
+
+
+def test_too_many_sources_are_refused(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "'s' || id as source", "'t' as text")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.schedule(docs)
+
+
 def test_mixing(spark):
     rows = [(k, f"s{k % 3}" if k % 10 else None, "x" * (k % 70), 1) for k in range(300)] + [(5, "s2", "xxxxx", 1)] * 3 + [(None, "s1", None, 1), (7, "s9", "y" * 5000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, slot int")
@@ -149,6 +193,46 @@ def test_damage_is_noticed(spark, tmp_path):
         warc.read(spark, str(tmp_path)).collect()
 
 
+@pytest.mark.parametrize("size", [1e-9, 1.0, 1e9, 1e150])
+def test_nearest_of_vectors_of_any_size(spark, size):
+    x = np.random.default_rng(21).normal(size=(300, 6)) * size
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in forest.nearest(table, k=5, every=30, share=99.0, leaf=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    near = (x / size) @ (x / size).T
+    for q in range(0, 300, 30):
+        near[q, q] = -np.inf
+        assert got[q] == np.argsort(-near[q], kind="stable")[:5].tolist()
+
+
+def test_nearest_of_vectors_of_two_lengths(spark):
+    rows = [(k, [float(k), 1.0, 2.0][: 2 + k % 2]) for k in range(12)]
+    got = forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, every=5, share=99.0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 2), (0, 2, 4), (5, 1, 11), (5, 2, 9), (10, 1, 8), (10, 2, 6)]
+
+
+def test_leaves_leave_one_queue_by_their_keys():
+    rng = np.random.default_rng(22)
+    trees = forest.Forest(rng.normal(size=(400, 5)), leaves=16, trees=3)
+    x, sizes = rng.normal(size=(20, 5)), rng.integers(1, 9, sum(trees.leaves)).astype(float)
+    for q, visited in zip(x, trees.search(x, sizes, 60.0), strict=True):
+        keys = []
+        for directions, cuts, children, _ in trees.trees:  # all leaves of a tree, in their numbering
+            own, todo = {}, [(0, 0.0)]
+            while todo:
+                node, key = todo.pop()
+                if node < 0:
+                    own[-1 - node] = key
+                    continue
+                gap = float(q @ directions[node] - cuts[node])
+                todo += [(int(children[node][side]), key + (gap**2 if (gap >= 0) != bool(side) else 0.0)) for side in (0, 1)]
+            keys += [own[k] for k in range(len(own))]
+        order = sorted(keys[k] for k in range(len(keys)))[: len(visited)]
+        assert [keys[k] for k in visited] == pytest.approx(order)
+        assert sizes[visited].sum() >= 60 > sizes[visited[:-1]].sum()
+
+
 def nearest_by_force(ids, x, k, every):
     out = {}
     for a in np.nonzero(ids % every == 0)[0]:
