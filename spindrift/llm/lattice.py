@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.shared import discard, held_out, materialize, table, text_bytes
 
-#: Longest piece in bytes; longer ones of the vocabulary are left out.
-LONGEST = 16
+#: The arcs of a lattice are kept for words up to this many bytes; for longer ones they are found twice.
+KEPT = 1024
 #: Rounds of expectation and maximization, and counts added to every piece.
 ROUNDS = 3
 SMOOTHING = 0.1
@@ -39,7 +39,7 @@ def vocabulary(path: str) -> list[bytes]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ranked = sorted((-model.get_score(i), i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
     pieces = [model.id_to_piece(i).replace("▁", " ").encode() for _, i in ranked]
-    fit = [p for p in pieces if 1 <= len(p) <= LONGEST and b" " not in p[1:] and p == p.lower()]
+    fit = [p for p in pieces if p and b" " not in p[1:] and p == p.lower()]
     return list(dict.fromkeys(fit + [bytes([b]) for b in range(256)]))
 
 
@@ -48,10 +48,11 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], logs: np.ndarray):
         self.pieces, self.logs = pieces, logs
+        self.longest = max(map(len, pieces))
         self._trie: tuple[np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
-        return {"pieces": self.pieces, "logs": self.logs, "_trie": None}
+        return {"pieces": self.pieces, "logs": self.logs, "longest": self.longest, "_trie": None}
 
     def trie(self) -> tuple[np.ndarray, np.ndarray]:
         """``next[state, byte]`` (0: none; state 1 is the root) and the piece a state ends."""
@@ -81,39 +82,52 @@ class Lattice:
 
         With ``arcs``, each step's ``(from, to, rows, pieces)`` is added to it.
         """
-        go, piece_of = self.trie()
         n, size = text.shape
         alpha = np.full((size + 1, n), -np.inf)
         alpha[0] = 0.0
         for i in range(size):
-            rows, state = np.arange(n), np.ones(n, np.int32)
-            for j in range(i + 1, min(size, i + LONGEST) + 1):
-                state = go[state, text[rows, j - 1]]
-                alive = state > 0
-                if not alive.all():
-                    rows, state = rows[alive], state[alive]
-                    if not len(rows):
-                        break
-                piece = piece_of[state]
-                ends = piece >= 0
-                at, piece = rows[ends], piece[ends]
-                if len(at):
-                    alpha[j, at] = np.logaddexp(alpha[j, at], alpha[i, at] + self.logs[piece])
-                    if arcs is not None:
-                        arcs.append((i, j, at, piece))
+            for j, at, piece in self._arcs(text, i):
+                alpha[j, at] = np.logaddexp(alpha[j, at], alpha[i, at] + self.logs[piece])
+                if arcs is not None:
+                    arcs.append((i, j, at, piece))
         return alpha
 
+    def _arcs(self, text: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Pieces that begin at place ``i``: where they end, in which rows, and which they are."""
+        go, piece_of = self.trie()
+        n, size = text.shape
+        rows, state = np.arange(n), np.ones(n, np.int32)
+        for j in range(i + 1, min(size, i + self.longest) + 1):
+            state = go[state, text[rows, j - 1]]
+            alive = state > 0
+            if not alive.all():
+                rows, state = rows[alive], state[alive]
+                if not len(rows):
+                    return
+            piece = piece_of[state]
+            ends = piece >= 0
+            if ends.any():
+                yield j, rows[ends], piece[ends]
+
     def expected(self, text: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
-        """Add how often each piece is expected in the words, times their weights."""
-        arcs: list = []
+        """Add how often each piece is expected in the words, times their weights.
+
+        Going backward, all that follows a place is known before it, so the
+        arcs of a very long word are found again rather than kept.
+        """
+        arcs: list | None = [] if text.shape[1] <= KEPT else None
         alpha = self.forward(text, arcs)
         beta = np.full(alpha.shape, -np.inf)
         beta[-1] = 0.0
-        for i, j, at, piece in reversed(arcs):
-            beta[i, at] = np.logaddexp(beta[i, at], beta[j, at] + self.logs[piece])
-        for i, j, at, piece in arcs:
-            share = np.exp(alpha[i, at] + self.logs[piece] + beta[j, at] - alpha[-1, at])
-            out += np.bincount(piece, weights=share * weights[at], minlength=len(out))
+        again = reversed(arcs) if arcs is not None else ((i, *arc) for i in range(text.shape[1] - 1, -1, -1) for arc in self._arcs(text, i))
+        for i, j, at, piece in again:
+            after = beta[j, at] + self.logs[piece]
+            beta[i, at] = np.logaddexp(beta[i, at], after)
+            share = np.exp(alpha[i, at] + after - alpha[-1, at]) * weights[at]
+            if len(at) > 1:
+                out += np.bincount(piece, weights=share, minlength=len(out))
+            else:
+                out[piece[0]] += share[0]
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """Natural log of the marginal probability of each word with the space before it."""

@@ -27,31 +27,36 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def pieces(payload: bytes, chunk: int = CHUNK) -> Iterator[memoryview]:
-    """A payload in parts of at most ``chunk`` bytes, at least one.
+def pieces(payload: bytes | memoryview, chunk: int = CHUNK) -> Iterator[bytes]:
+    """A payload in parts of at most ``chunk`` bytes, at least one; one part is copied at a time.
 
-    No part ends within a character or contains ``MAGIC``: a part ends inside
-    any such string, so no record is mistaken for two.
+    No part ends within a character, contains ``MAGIC`` or ends in what the
+    line break after a record would complete to it: a part ends inside any
+    such string, so no record is mistaken for two.
     """
     view, at = memoryview(payload), 0
     while True:
-        end = min(len(payload), at + chunk)
-        if end < len(payload):
+        end = min(len(view), at + chunk)
+        if end < len(view):
             whole = end
-            while whole > at and payload[whole] & 0xC0 == 0x80:
+            while whole > at and view[whole] & 0xC0 == 0x80:
                 whole -= 1
             end = whole if whole > at else end
-        found = payload.find(MAGIC, at, end)
+        part = bytes(view[at:end])
+        found = part.find(MAGIC)
         if found >= 0:
-            end = found + 5
-        yield view[at:end]
-        at = end
-        if at >= len(payload):
+            part = part[: found + 5]
+        elif part.endswith(MAGIC[:-2]):
+            part = part[:-3]
+        yield part
+        at += len(part)
+        if at >= len(view):
             return
 
 
 def _visible(url: str | None) -> str:
-    return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
+    shown = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
+    return shown.replace("WARC/1.1", "WARC%2F1.1")  # the line break after it would make it MAGIC
 
 
 def record_id(page_id: int | None, digest: str, copy: int) -> str:
@@ -63,7 +68,7 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"".join((MAGIC, head.encode(), b"Content-Length: ", str(len(block)).encode(), b"\r\n\r\n", block, b"\r\n"))
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, digest: str, copy: int, refers_to: int | None, revisit: bool, chunk: int = CHUNK) -> Iterator[bytes]:
+def records(page_id: int | None, url: str | None, payload: bytes | memoryview, digest: str, copy: int, refers_to: int | None, revisit: bool, chunk: int = CHUNK) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response and its continuations.
 
     Every part carries the digest of the payload up to its end.
@@ -83,12 +88,12 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, c
         if number == 1:
             http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
             fields = [("WARC-Type", "response"), ("WARC-Record-ID", own), ("Content-Type", "application/http; msgtype=response"), *common, *segment]
-            yield _record(fields, http + bytes(part))
+            yield _record(fields, http + part)
         else:
             origin = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, digest, -(copy << 32) - number)), ("WARC-Segment-Origin-ID", own)]
             if last:
                 segment.append(("WARC-Segment-Total-Length", len(payload)))
-            yield _record([*origin, *common, *segment], bytes(part))
+            yield _record([*origin, *common, *segment], part)
 
 
 def decisions(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -120,7 +125,8 @@ def write(pages: DataFrame, path: str, chunk: int = CHUNK, min_bytes: int = MIN_
             out: list[bytes] = []
             held = 0
             for row in zip(*(batch.column(k) for k in range(7)), strict=True):
-                page, url, payload, digest, copy, first, revisit = (x.as_py() for x in row)
+                payload = memoryview(row[2].as_buffer())  # stays in the batch, and is copied part by part
+                page, url, digest, copy, first, revisit = (x.as_py() for k, x in enumerate(row) if k != 2)
                 for text in records(page, url, payload, base32(bytes.fromhex(digest)), copy, first, revisit, chunk):
                     out.append(text)
                     held += len(text)
@@ -147,7 +153,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = memoryview(raw)
             if not len(data):
                 continue
-            end = bytes(data[: 1 << 16]).find(b"\r\n\r\n")
+            end, reach = -1, 1 << 16
+            while end < 0:  # a header is as long as its URL
+                end = bytes(data[:reach]).find(b"\r\n\r\n")
+                if end < 0 and reach >= len(data):
+                    raise ValueError("a record without an end of its header")
+                reach *= 4
             head = dict(line.split(": ", 1) for line in bytes(data[:end]).decode().split("\r\n"))
             size = int(head["Content-Length"])
             block = data[end + 4 : end + 4 + size]

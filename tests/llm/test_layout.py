@@ -233,6 +233,15 @@ def test_leaves_leave_one_queue_by_their_keys():
         assert sizes[visited].sum() >= 60 > sizes[visited[:-1]].sum()
 
 
+def test_archives_of_long_urls_and_payloads(spark, tmp_path):
+    long = "WARC/1.1" + "é\r\nWARC/1.1\r\n" * 200_000 + "x" * 20_000_000
+    rows = [(1, "http://a.at/" + "u" * 1_000_000, "<p>"), (2, "http://a.at/WARC/1.1", "ends in WARC/1.1"), (3, "c", long), (4, None, "WARC/1.1"), (5, "e", "WARC/1.1\r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert got == {k: (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response") for k, _, h in rows}
+
+
 def nearest_by_force(ids, x, k, every):
     out = {}
     for a in np.nonzero(ids % every == 0)[0]:

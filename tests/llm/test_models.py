@@ -216,3 +216,17 @@ def test_scores(spark, tables):
             assert r["base_score"] == pytest.approx(sum(math.log10((learned[w] + 1) / (n + v + 1)) for w in words))
             assert r["held_out"] == (i is None or held(i, 7)) and r["score"] < 0
     assert lattice.score(docs.limit(0)).count() == 0
+
+
+def test_expected_pieces_of_a_very_long_word(monkeypatch):
+    rng = np.random.default_rng(31)
+    pieces = [bytes([b]) for b in range(97, 103)] + [b"ab", b"abc", b"fed", b"cafe" * 6]
+    model = lattice.Lattice(pieces, np.log(rng.dirichlet(np.ones(len(pieces)))))
+    assert model.longest == 24
+    text = rng.integers(97, 103, (1, 3000)).astype(np.uint8)
+    text[0, 100:124] = np.frombuffer(b"cafe" * 6, np.uint8)
+    found, kept = np.zeros(len(pieces)), np.zeros(len(pieces))
+    model.expected(text, np.ones(1), found)
+    monkeypatch.setattr(lattice, "KEPT", 10_000)
+    model.expected(text, np.ones(1), kept)
+    assert found == pytest.approx(kept) and sum(n * len(p) for n, p in zip(found, pieces, strict=True)) == pytest.approx(3000)
