@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -14,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.sources.package import ship
+from spindrift.sources.shared import discard as discard
+from spindrift.sources.shared import scratch as scratch
 
 #: Rows per Arrow batch; Spark bounds its bytes besides, so neither many nor
 #: very long documents outgrow a worker.
 BATCH_ROWS = 2000
 
-_own: dict[str, str] = {}
 _holder: list[tuple[str, Callable[[], None]]] = []
 
 
@@ -55,25 +54,6 @@ def _return_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a session that names none (a local test) gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        application = spark.sparkContext.applicationId
-        if application not in _own:
-            _own[application] = tempfile.mkdtemp(prefix="spindrift-")
-        named = _own[application]
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/spindrift/{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -86,14 +66,6 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Remove tables that no later step reads."""
-    jvm = spark._jvm
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
