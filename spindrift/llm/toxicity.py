@@ -139,8 +139,9 @@ class SubwordSoftmax:
         number: dict[bytes, int] = {}
         docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
         owner, bucket = ordered_ngrams(list(number))
-        count = np.bincount(owner, minlength=len(number))
-        begin = np.concatenate([[0], np.cumsum(count)])
+        if not len(owner):
+            return
+        begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(number)))])
         held = rng.random(len(docs)) < 0.2
         used = np.array([i for i, d in enumerate(docs) if len(d) and not held[i]], np.int64)
         toxic, clean = used[labels[used] == 1], used[labels[used] == 0]
@@ -150,7 +151,7 @@ class SubwordSoftmax:
             if epoch < epochs // 3 or not len(toxic):
                 at = [int(rng.integers(max(1, len(docs[i]) - BAG + 1))) for i in used]
             else:
-                value = self._values(owner, bucket, count)
+                value = self._values(bucket, begin)
                 at = [best_bag(value[docs[i]])[1] for i in used]
             where = dict(zip(used.tolist(), at, strict=True))
             more = rng.choice(toxic, len(clean)) if len(toxic) else toxic
@@ -158,36 +159,42 @@ class SubwordSoftmax:
             for lo in range(0, len(todo), 64):
                 part = todo[lo : lo + 64]
                 bags = [docs[i][where[i] : where[i] + BAG] for i in part]
-                sizes = np.array([len(b) for b in bags])
-                # each word is looked up once in a step, however many bags it is in
-                words, turn, grouped, at_word = _runs(np.concatenate(bags))
-                lengths = np.maximum(count[words], 1)
-                ends = np.cumsum(lengths)
-                grams = bucket[np.repeat(begin[words] - (ends - lengths), lengths) + np.arange(ends[-1])]
-                word = np.add.reduceat(np.take(self.vectors, grams, axis=0), ends - lengths, axis=0) / lengths[:, None].astype(np.float32)
-                of_bag = np.repeat(np.arange(len(part)), sizes)
-                share = (1.0 / sizes).astype(np.float32)
-                mean = np.add.reduceat(np.take(word, turn, axis=0), np.cumsum(sizes) - sizes, axis=0) * share[:, None]
-                logit = mean @ self.out + self.bias
-                chance = np.exp(logit - logit.max(1, keepdims=True))
-                chance /= chance.sum(1, keepdims=True)
-                chance[np.arange(len(part)), labels[part]] -= 1
-                down = (chance @ self.out.T * share[:, None]).astype(np.float32)
-                grad_o = mean.T @ chance
+                grad_o, grad_b, rows, grad_v = self.gradients(bags, labels[part], begin, bucket)
                 squares_o += grad_o**2
                 self.out -= 0.3 * grad_o / np.sqrt(squares_o)
-                self.bias -= 0.02 * chance.mean(0)
-                grad_w = np.add.reduceat(np.take(down, np.take(of_bag, grouped), axis=0), at_word, axis=0) / lengths[:, None].astype(np.float32)
-                rows, _, grouped, at_row = _runs(grams)
-                of_word = np.take(np.repeat(np.arange(len(words)), lengths), grouped)
-                grad_v = np.add.reduceat(np.take(grad_w, of_word, axis=0), at_row, axis=0)
+                self.bias -= 0.02 * grad_b / len(part)
                 squares = np.take(squares_v, rows) + np.einsum("ij,ij->i", grad_v, grad_v) / WIDTH
                 squares_v[rows] = squares
                 self.vectors[rows] = np.take(self.vectors, rows, axis=0) - grad_v * (0.3 / np.sqrt(squares))[:, None]
-        value = self._values(owner, bucket, count)
+        value = self._values(bucket, begin)
         raw = np.array([best_bag(value[d])[0] for d in docs]) + float(self.bias[1] - self.bias[0])
         self._calibrate(raw[held] if (labels[held] == 1).sum() >= 20 else raw, labels[held] if (labels[held] == 1).sum() >= 20 else labels)
 
+    def gradients(self, bags: list[np.ndarray], labels: np.ndarray, begin: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of the bags' summed cross-entropy: by the softmax, its bias, and the vectors of the buckets given third.
+
+        A bag holds numbers of words, and word ``w`` the buckets ``bucket[begin[w] : begin[w + 1]]``.
+        """
+        sizes = np.array([len(b) for b in bags])
+        # each word is looked up once, however many bags it is in
+        words, turn, grouped, at_word = _runs(np.concatenate(bags))
+        lengths = begin[words + 1] - begin[words]
+        ends = np.cumsum(lengths)
+        grams = bucket[np.repeat(begin[words] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        word = np.add.reduceat(np.take(self.vectors, grams, axis=0), ends - lengths, axis=0) / lengths[:, None].astype(np.float32)
+        of_bag = np.repeat(np.arange(len(bags)), sizes)
+        share = (1.0 / sizes).astype(np.float32)
+        mean = np.add.reduceat(np.take(word, turn, axis=0), np.cumsum(sizes) - sizes, axis=0) * share[:, None]
+        logit = mean @ self.out + self.bias
+        chance = np.exp(logit - logit.max(1, keepdims=True))
+        chance /= chance.sum(1, keepdims=True)
+        chance[np.arange(len(bags)), labels] -= 1
+        down = (chance @ self.out.T * share[:, None]).astype(np.float32)
+        grad_w = np.add.reduceat(np.take(down, np.take(of_bag, grouped), axis=0), at_word, axis=0) / lengths[:, None].astype(np.float32)
+        rows, _, grouped, at_row = _runs(grams)
+        of_word = np.take(np.repeat(np.arange(len(words)), lengths), grouped)
+        return mean.T @ chance, chance.sum(0), rows, np.add.reduceat(np.take(grad_w, of_word, axis=0), at_row, axis=0)
+
     def _calibrate(self, raw: np.ndarray, labels: np.ndarray) -> None:
         """Put the cut with the best F1 on ``THRESHOLD``."""
         order = np.argsort(-raw, kind="stable")
@@ -199,9 +206,10 @@ class SubwordSoftmax:
         self.shift = float((s[cut] + s[min(cut + 1, len(s) - 1)]) / 2)
         self.slope = float(4 / max(np.std(raw), 1e-6))
 
-    def _values(self, owner: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def _values(self, bucket: np.ndarray, begin: np.ndarray) -> np.ndarray:
         of_bucket = (self.vectors @ (self.out[:, 1] - self.out[:, 0])).astype(np.float64)
-        return np.bincount(owner, weights=of_bucket[bucket], minlength=len(count)) / np.maximum(count, 1)
+        # a word has one n-gram at least, itself
+        return np.add.reduceat(of_bucket[bucket], begin[:-1]) / np.diff(begin)
 
     def _finish(self) -> None:
         self.buckets = (self.vectors @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32)
