@@ -112,14 +112,95 @@ def test_labels_held_out(tables, score, label, cut, least):
 def test_label_edges(spark, score, label):
     docs = spark.createDataFrame([(1, "a b", "k"), (1, "a b", "k"), (2, None, "k"), (None, "c", "k"), (3, "", "k"), (4, "w " * 200_000 + "x" * 20_000, "k")], "doc_id long, text string, label string")
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (3, 1), (3, 0), (9, 0)], f"doc_id long, {label} int")
-    assert score(docs, labels).count() == 6
-    assert score(docs, labels.limit(0)).count() == 6
+    # one kind of label was seen, so every text is like it: null, empty and very long ones too
+    rows = score(docs, labels).collect()
+    assert len(rows) == 6 and all(r["predicted"] == 1 and 0.3 <= r["score"] <= 1 for r in rows)
+    empty = {r["score"] for r in rows if r["doc_id"] in (2, 3)}
+    assert len(empty) == 1 and len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
+    rows = score(docs, labels.limit(0)).collect()
+    assert len(rows) == 6 and {r["predicted"] for r in rows} == {int(label == "quality")}
     assert score(docs.limit(0), labels).count() == 0
 
 
+def test_scores_of_odd_texts(spark):
+    words = "the house by the river has a garden and three rooms for rent near old town".split()
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(rng.choice(words, 40)) + (" you vile stupid worm" if i % 2 else "") + (" ||| !!! $$$" * 9 if i % 2 else "")) for i in range(400)]
+    odd = [(1000, None), (1001, ""), (1002, "the house " * 150_000), (1003, "x" * 1_000_000), (1004, "the house"), (1004, "the house")]
+    docs = spark.createDataFrame(texts + odd, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    for score, cut, worse in ((quality.quality, 0.7, 0), (toxicity.toxicity, 0.3, 1)):
+        rows = score(docs, labels).collect()
+        assert len(rows) == 406 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= cut) for r in rows)
+        assert all(r["predicted"] == (worse if r["doc_id"] % 2 else 1 - worse) for r in rows if r["doc_id"] < 400)
+        by_id = {}
+        for r in rows:
+            by_id.setdefault(r["doc_id"], set()).add(r["score"])
+        assert by_id[1000] == by_id[1001] and len(by_id[1004]) == 1
+
+
+def test_weights_are_the_optimum_of_bradley_terry():
+    rng = np.random.default_rng(6)
+    gap = rng.normal(size=(200, 5)) + [0.8, -0.3, 0, 0, 0.1]
+
+    def loss(w, ridge):
+        return sum(math.log1p(math.exp(-sum(a * b for a, b in zip(g, w, strict=True)))) for g in gap.tolist()) / len(gap) + ridge / 2 * sum(b * b for b in w)
+
+    for ridge in (quality.RIDGE, 0.1):
+        best = quality.preferences(gap, ridge)
+        for k in range(5):
+            step = np.eye(5)[k] * 1e-4
+            assert abs(loss(best + step, ridge) - loss(best - step, ridge)) / 2e-4 < 1e-6
+        assert all(loss(best, ridge) < loss(best + 0.05 * rng.normal(size=5), ridge) for _ in range(20))
+
+
+def test_content_counts_runs_of_bytes(monkeypatch):
+    def plain(data):
+        tally = Counter((int.from_bytes(data.lower()[i : i + 3], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 24 for i in range(len(data) - 2))
+        return [math.sqrt(tally[k] / max(sum(tally.values()), 1)) for k in range(quality.BUCKETS)]
+
+    texts = [b"", b"a", b"ab", b"abc", b"The cat, the CAT", "größe".encode() * 9]
+    want = [plain(t) for t in texts]
+    assert np.allclose([quality.content(t) for t in texts], want)
+    monkeypatch.setattr(quality, "PART", 4)
+    assert np.allclose([quality.content(t) for t in texts], want)
+
+
+def test_gradients_of_the_joint_model():
+    model = toxicity.SubwordSoftmax([], np.zeros(0))
+    model.vectors, model.out, model.bias = model.vectors.astype(float), model.out.astype(float), np.array([0.2, -0.1])
+    words = [b"alpha", b"alphas", b"a", "größe".encode(), b"beta"]
+    owner, bucket = toxicity.ordered_ngrams(words)
+    begin = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))]
+    bags, labels = [np.array([0, 1, 1]), np.array([2]), np.array([3, 4, 0, 2])], np.array([1, 0, 1])
+
+    def loss():
+        total = 0.0
+        for bag, y in zip(bags, labels, strict=True):
+            mean = sum(sum(model.vectors[b] for b in bucket[begin[w] : begin[w + 1]]) / (begin[w + 1] - begin[w]) for w in bag) / len(bag)
+            logit = [sum(mean[d] * model.out[d, k] for d in range(toxicity.WIDTH)) + model.bias[k] for k in (0, 1)]
+            total += math.log(sum(map(math.exp, logit))) - logit[y]
+        return total
+
+    def slope(values, at):
+        kept, both = values[at], []
+        for step in (1e-5, -1e-5):
+            values[at] = kept + step
+            both.append(loss())
+        values[at] = kept
+        return (both[0] - both[1]) / 2e-5
+
+    by_out, by_bias, rows, by_vector = model.gradients(bags, labels, begin, bucket)
+    assert sorted(rows) == sorted(set(bucket.tolist()))
+    assert np.allclose(by_out, [[slope(model.out, (d, k)) for k in (0, 1)] for d in range(toxicity.WIDTH)], atol=1e-5)
+    assert np.allclose(by_bias, [slope(model.bias, k) for k in (0, 1)], atol=1e-5)
+    for r in range(0, len(rows), 5):
+        assert np.allclose(by_vector[r], [slope(model.vectors, (rows[r], d)) for d in range(toxicity.WIDTH)], atol=1e-5)
+
+
 def test_ranking_orders_pairs():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, len(quality.FEATURES)))
+    x = rng.normal(size=(400, len(quality.FEATURES) + quality.BUCKETS))
     label = (x[:, 0] + 0.1 * rng.normal(size=400) > -1).astype(int)
     model = quality.PairwiseRanker(x, label)
     s = model.score(x)
