@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -47,8 +48,9 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFr
     return rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
+@functools.lru_cache(maxsize=2)
 def _hyperplanes(width: int, bits: int, tables: int) -> np.ndarray:
-    return np.random.default_rng(17).normal(size=(width, bits * tables))
+    return np.rint(np.random.default_rng(17).normal(size=(width, bits * tables)) * 1024)
 
 
 def signatures(bits: int, tables: int):
@@ -58,33 +60,41 @@ def signatures(bits: int, tables: int):
         width = vectors.map(len)
         for size in width.unique():
             rows = np.nonzero((width == size).to_numpy())[0]
-            for i, k in zip(rows, _keys(np.stack([vectors.iloc[i] for i in rows]).astype(float), bits, tables), strict=True):
+            x = np.stack([vectors.iloc[i] for i in rows]).astype(float)
+            for i, k in zip(rows, _keys(x, bits, tables, tables) + (np.int64(size) << np.int64(bits)), strict=True):
                 out[i] = k
         return pd.Series(out)
 
     return of
 
 
-def _keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The key of each row in each table."""
-    # scaled first, so that very large parts do not overflow
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    side = (x @ _hyperplanes(x.shape[1], bits, tables) > 0).reshape(len(x), tables, bits)
-    return side @ (1 << np.arange(bits, dtype=np.int64)) + (np.int64(x.shape[1]) << np.int64(bits))
+def _keys(x: np.ndarray, bits: int, tables: int, first: int) -> np.ndarray:
+    """The sides of each row in each of the ``first`` tables.
+
+    Vectors are scaled, which keeps large parts from overflowing, and taken to whole
+    millionths. Products with the whole-numbered hyperplanes are then exact in double
+    precision, so a row has the same key wherever and in whatever batch it is computed.
+    """
+    x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * (1 << 20))
+    planes, values = _hyperplanes(x.shape[1], bits, tables), 1 << np.arange(bits, dtype=np.int64)
+    out = np.empty((len(x), first), np.int64)
+    for t in range(first):
+        out[:, t] = (x @ planes[:, t * bits : (t + 1) * bits] > 0) @ values
+    return out
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    width = len(column[0])
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
+def _units(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, tables: int) -> Iterator[pa.RecordBatch]:
     """Verified links of cells that come sorted; a cell at most is held over.
 
     For each vector of a cell: how many vectors it links to that it has not
-    met in an earlier table, and an edge that keeps the cell connected.
+    met in an earlier table, and an edge that keeps the cell connected. Keys
+    in earlier tables are computed anew, for vectors with links alone, rather
+    than shipped with every row.
     """
 
     def cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -94,24 +104,38 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             return
         rep, copies, own, number = (rows.column(c).to_numpy() for c in ("rep", "copies", "own", "number"))
         left, right = int(rows.column("left")[0].as_py()), int(rows.column("right")[0].as_py())
-        unit = _units(rows.column("v").combine_chunks())
-        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        vectors = rows.column("v").combine_chunks()
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
+        unit = _units(x)
         turn = int(number[0])
+        keys, known = np.empty((n, turn), np.int64), np.zeros(n, bool)
         links = np.zeros(n, np.int64)
         a, b = [], []
         for lo in range(0, n, 256):
-            near = unit[lo : lo + 256] @ unit.T >= threshold - 1e-9
-            i, j = np.nonzero(near)
+            value = unit[lo : lo + 256] @ unit.T
+            i, j = np.nonzero(value >= threshold - 1e-9)
+            value = value[i, j]
             i = i + lo
             ok = i < j
             if left != right:
                 ok &= own[i] != own[j]
+            i, j, value = i[ok], j[ok], value[ok]
+            # only what is this near the threshold can fall on either side by the order of a sum
+            ok = value > threshold + 1e-9
+            edge = np.nonzero(~ok)[0]
+            ok[edge] = np.einsum("ij,ij->i", unit[i[edge]], unit[j[edge]]) >= threshold
             i, j = i[ok], j[ok]
+            if turn and len(i):
+                wanted = np.union1d(i, j)
+                wanted = wanted[~known[wanted]]
+                if len(wanted):
+                    keys[wanted] = _keys(x[wanted], bits, tables, turn)
+                    known[wanted] = True
+                met = np.zeros(len(i), bool)
+                for t in range(turn):
+                    met |= keys[i, t] == keys[j, t]
+                i, j = i[~met], j[~met]
             if len(i):
-                exact = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
-                met = (keys[i, :turn] == keys[j, :turn]).any(axis=1) if turn else np.zeros(len(i), bool)
-                fresh = exact & ~met
-                i, j = i[fresh], j[fresh]
                 links += np.bincount(i, weights=copies[j], minlength=n).astype(np.int64)
                 links += np.bincount(j, weights=copies[i], minlength=n).astype(np.int64)
                 root = _forest(i, j, n)
@@ -161,10 +185,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     nodes, _ = materialize(distinct_vectors(vectors, id_col, vector_col), "vectors")
     bits, tables = plan_tables(nodes.count(), threshold, recall)
     filed = nodes.select("rep", "copies", "v", signatures(bits, tables)("v").alias("keys"))
-    # what goes to every bucket is kept small: sides without the width, and vectors as they were stored
+    # what goes to every bucket is kept small: one key, and the vector as it was stored
     stored = F.col("v").cast("array<float>") if dict(vectors.dtypes)[vector_col] == "array<float>" else F.col("v")
-    sides = F.transform("keys", lambda x: x.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int"))
-    placed = filed.select("rep", "copies", stored.alias("v"), sides.alias("keys"), F.posexplode("keys").alias("number", "key"))
+    placed = filed.select("rep", "copies", stored.alias("v"), F.posexplode("keys").alias("number", "key"))
     sizes = filed.select(F.posexplode("keys").alias("number", "key")).groupBy("number", "key").count()
     hot, _ = materialize(sizes.where(F.col("count") > cell).withColumnsRenamed({"number": "h_number", "key": "h_key"}), "hot-buckets")
     blocks = F.coalesce(F.ceil(F.col("count") / cell), F.lit(1)).cast("int")
@@ -173,10 +196,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("number", "key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "rep", "copies", "v", "keys")
+        .select("number", "key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "rep", "copies", "v")
     )
     dealt = cells.repartition("number", "key", "left", "right").sortWithinPartitions("number", "key", "left", "right")
-    found, _ = materialize(dealt.mapInArrow(lambda it: _links(it, threshold), "a long, links long, b long"), "links")
+    found, _ = materialize(dealt.mapInArrow(lambda it: _links(it, threshold, bits, tables), "a long, links long, b long"), "links")
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("a", "b"))
     known = (

@@ -238,3 +238,15 @@ def test_tables_for_recall():
     bits, tables = cosine.plan_tables(10_000, 0.9)
     agree = (1 - np.arccos(0.9) / np.pi) ** bits
     assert 1 - (1 - agree) ** tables >= 0.999
+
+
+@pytest.mark.parametrize("scale", [1e-300, 1.0, 1e300])
+def test_keys_do_not_depend_on_the_batch(scale):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 48)), rng.integers(-2, 3, (300, 48)) + 0.0]) * scale
+    x = x[np.abs(x).max(axis=1) > 0]
+    whole = cosine._keys(x, 9, 23, 23)
+    for k in (0, 7, 450):
+        assert (cosine._keys(x[k : k + 1], 9, 23, 23) == whole[k]).all() and (cosine._keys(x[k : k + 5], 9, 23, 4) == whole[k : k + 5, :4]).all()
+    near = cosine._keys(x + rng.normal(size=x.shape) * scale * 1e-3, 9, 23, 23)
+    assert (near == whole).mean() > 0.9 and len(np.unique(whole[:, 0])) > 200
