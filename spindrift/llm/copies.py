@@ -1,4 +1,4 @@
-"""Groups of near copies by SimHash, for texts whose shingles are alike to a given share."""
+"""Groups of near copies by SimHash and a byte-position index, for texts whose shingles are alike to a given share."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,10 @@ SIGNATURE = 8
 #: with the similarity s meets in none with a probability of (1 - s ** LEAST) ** LISTS.
 LISTS = 20
 LEAST = 3
+#: Bytes of a signature whose joint value with their places is a key of the byte index;
+#: every byte is in one key. Pairs that meet there and share fewer bytes are let go.
+JOINT = 2
+SHARED = 4
 #: Ties raise the mean of the bits in which signatures differ by this factor at most,
 #: in sets of fewer than FEW_SHINGLES and in others; copies may differ in DEVIATIONS more.
 TIES = (1.24, 1.07)
@@ -102,6 +106,38 @@ def list_keys(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
+def byte_keys() -> list[Column]:
+    """Keys of the byte index: the joint values of ``JOINT`` bytes of a signature ``fp0, fp1, ..``, and which bytes they are.
+
+    The bytes of a key lie in different words. Keys are small numbers, and
+    those of least shingles are hashes.
+    """
+    places = 8 * SIGNATURE // JOINT
+    keys = []
+    for number in range(places):
+        key = F.lit(number).cast("long")
+        for place in range(number, 8 * SIGNATURE, places):
+            key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(f"fp{place // 8}", 8 * (place % 8)).bitwiseAND(F.lit(255).cast("long")))
+        keys.append(key)
+    return keys
+
+
+def _from_bytes(key: np.ndarray) -> np.ndarray:
+    """Which keys are of the byte index."""
+    return (key >= 0) & (key < (8 * SIGNATURE // JOINT) << (8 * JOINT))
+
+
+def _shared(x: list[np.ndarray], i, j) -> np.ndarray:
+    """Bytes that rows ``i`` and ``j`` have in common, place by place."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    total = np.zeros(len(i), np.uint8)
+    for w in x:
+        y = w[i] ^ w[j]
+        # the highest bit of each byte that is zero
+        total += np.bitwise_count(~(((y & low) + low) | y | low))
+    return total
+
+
 def _signed(texts: pd.Series) -> pd.Series:
     """Signature, list keys and size of the set of shingles."""
     claim("near copies", nothing)
@@ -172,20 +208,26 @@ def _close(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
     for rows in _lists(batches):
         node, part, size = (rows.column(c).to_numpy() for c in ("node", "part", "shingled"))
         x = [rows.column(f"fp{k}").to_numpy().view(np.uint64) for k in range(SIGNATURE)]
+        index = _from_bytes(rows.column("key").to_numpy())
         starts, sizes = _runs(rows)
         a, b = [], []
         left = np.repeat(starts + sizes, sizes) - np.arange(len(node))  # members from here to the end of the list
         left[np.repeat(sizes > SHIFTED, sizes)] = 0
         at, shift = np.nonzero(left > 1)[0], 1
         while len(at):
-            close = _may(_gap(x, at, at + shift), size[at], size[at + shift], similarity)
-            a.append(at[close] + shift)
-            b.append(at[close])
+            met = at[~index[at] | (_shared(x, at, at + shift) >= SHARED)]
+            close = met[_may(_gap(x, met, met + shift), size[met], size[met + shift], similarity)]
+            a.append(close + shift)
+            b.append(close)
             shift += 1
             at = at[left[at] > shift]
         for s, n in zip(starts[sizes > SHIFTED], sizes[sizes > SHIFTED], strict=True):
             label = _first(part[s : s + n])
-            for lo, _, i, j in _tiles([w[s : s + n] for w in x], size[s : s + n], similarity):
+            own = [w[s : s + n] for w in x]
+            for lo, _, i, j in _tiles(own, size[s : s + n], similarity):
+                if index[s]:
+                    met = _shared(own, i + lo, j) >= SHARED
+                    i, j = i[met], j[met]
                 # what is joined already is known by its label, so every tile adds to one forest
                 label = _forest(np.r_[i + lo, np.arange(n)], np.r_[j, label], n)
             a.append(np.arange(s, s + n))
@@ -326,12 +368,17 @@ class _Search:
         return self.keep(dealt.mapInArrow(lambda it: _close(it, similarity), "a long, b long").distinct(), "close")
 
     def clusters(self) -> DataFrame:
-        """``nodes`` with the cluster of each as its part; close signatures that share a list are in one."""
+        """``nodes`` with the cluster of each as its part; close signatures that share a list are in one.
+
+        Lists are those of the byte index, where the bytes that a pair shares
+        are counted before its bits, and those of least shingles.
+        """
         nodes = self.nodes.withColumn("part", F.col("node"))
-        lists = self.keep(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1"), "lists")
+        keys = F.concat("keys", F.array(*byte_keys()))
+        lists = self.keep(nodes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1"), "lists")
 
         def posted(of: DataFrame) -> DataFrame:
-            return of.select("node", "part", "shingled", *self.words, F.explode("keys").alias("key"))
+            return of.select("node", "part", "shingled", *self.words, F.explode(keys).alias("key"))
 
         edges = self.close(_blocked(posted(nodes), lists, self.cell))
         parted = self.parted(nodes, edges)
@@ -411,9 +458,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     of word shingles are as alike as ``similarity`` asks for; texts without
     words are alike.
 
-    Each distinct text has a long SimHash signature of its set. Signatures at
-    this similarity need share no byte, so texts meet in lists by the least
-    shingles in random orders. Members of a list whose signatures are close
+    Each distinct text has a long SimHash signature of its set, and is posted
+    in an inverted index under the joint values of bytes at their places.
+    Members of a posting list that share enough bytes are verified bit by bit.
+    Signatures at this similarity need share no byte, so texts meet besides in
+    lists by the least shingles in random orders, which catch the pairs that
+    the index misses. Members of a list whose signatures are close
     are connected, which parts the texts into clusters that no link leaves.
     The texts of a cluster are then brought together with their sets, and
     these decide every close pair that is not connected yet. Nothing emits

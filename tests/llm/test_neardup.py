@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -250,3 +251,40 @@ def test_keys_do_not_depend_on_the_batch(scale):
         assert (cosine._keys(x[k : k + 1], 9, 23, 23) == whole[k]).all() and (cosine._keys(x[k : k + 5], 9, 23, 4) == whole[k : k + 5, :4]).all()
     near = cosine._keys(x + rng.normal(size=x.shape) * scale * 1e-3, 9, 23, 23)
     assert (near == whole).mean() > 0.9 and len(np.unique(whole[:, 0])) > 200
+
+
+def test_byte_index_of_near_copies(spark):
+    rng = np.random.default_rng(12)
+    one = rng.integers(0, 1 << 63, (200, copies.SIGNATURE)).astype(np.int64)
+    frame = spark.createDataFrame([tuple(map(int, r)) for r in one], ", ".join(f"fp{k} long" for k in range(copies.SIGNATURE)))
+    plain = one.view(np.uint8).reshape(len(one), -1)
+    half = plain.shape[1] // 2
+    keys = np.array([r["keys"] for r in frame.select(F.array(*copies.byte_keys()).alias("keys")).collect()])
+    assert (keys == ((np.arange(half) << 16) + (plain[:, :half].astype(int) << 8) + plain[:, half:])).all() and copies._from_bytes(keys).all()
+    i, j = rng.integers(0, 200, (2, 500))
+    assert (copies._shared(list(one.view(np.uint64).T), i, j) == (plain[i] == plain[j]).sum(axis=1)).all()
+    pairs = []
+    for k in range(60):
+        words = [f"w{n}" for n in rng.integers(0, 10**9, 150)]
+        pairs += [" ".join(words), " ".join([*words[:140], *(f"x{k}.{n}" for n in range(5)), *words[140:]])]
+    docs = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
+    # the posting lists alone, without those of least shingles, connect near copies and nothing else
+    pairs = []
+    for k in range(60):
+        words = [f"w{n}" for n in rng.integers(0, 10**9, 150)]
+        pairs += [" ".join(words), " ".join([*words[:140], *(f"x{k}.{n}" for n in range(5)), *words[140:]])]
+    sets = [copies.shingles(t.encode()) for t in pairs]
+    signs = np.array([copies.signature(x) for x in sets])
+    plain = signs.view(np.uint8).reshape(len(signs), -1).astype(int)
+    posted = sorted((p << 16 | int(plain[n, p]) << 8 | int(plain[n, p + half]), n) for n in range(120) for p in range(half))
+    key, node = (np.array([r[c] for r in posted]) for c in (0, 1))
+    columns = {"key": key, "cell": 0 * key, "node": node, "part": node, "shingled": np.array([len(x) for x in sets])[node]} | {f"fp{k}": signs[node, k].view(np.int64) for k in range(copies.SIGNATURE)}
+    links = [(a, b) for out in copies._close(pa.table(columns).to_batches(1000), 0.8) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert roots(120, links) == [k - k % 2 for k in range(120)] == groups_by_force(pairs)
+    # members of a list that share the bytes of its key alone are let go before their bits are looked at
+    few = np.where(np.arange(copies.SIGNATURE * 8) % half == 0, plain[0], plain[0] ^ 1).astype(np.uint8).view(np.uint64)
+    columns = {"key": key[:1].repeat(2) * 0 + (int(plain[0, 0]) << 8 | int(plain[0, half])), "cell": np.zeros(2, int), "node": np.arange(2), "part": np.arange(2), "shingled": np.full(2, 50)}
+    columns |= {f"fp{k}": np.array([signs[0, k], few[k]]).view(np.int64) for k in range(copies.SIGNATURE)}
+    assert not [r for out in copies._close(pa.table(columns).to_batches(), 0.8) for r in out.to_pylist()]
+    hashed = columns | {"key": np.full(2, 1 << 40)}
+    assert [r for out in copies._close(pa.table(hashed).to_batches(), 0.8) for r in out.to_pylist()] == [{"a": 1, "b": 0}]
