@@ -1,4 +1,4 @@
-"""Bounded training samples of labelled documents."""
+"""Labelled documents to learn from: all, or bounded samples."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from spindrift.llm.shared import discard, held_out, materialize
 
 #: Bytes of text that a model learns from at most.
 MAX_BYTES = 256 << 20
+#: So many labelled ids are sent to every task; more are joined by a shuffle.
+FEW = 500_000
 
 
 def within_bytes(sample: DataFrame, max_bytes: int = MAX_BYTES) -> list:
@@ -33,6 +35,32 @@ def within_bytes(sample: DataFrame, max_bytes: int = MAX_BYTES) -> list:
     return taken
 
 
+def _usable(labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    """``(id, label)`` without held-out and null ids and null labels."""
+    value = F.col(label).cast("int")
+    return labels.select(F.col(id_col).cast("long").alias("id"), value.alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id", 4))
+
+
+def _agreed(usable: DataFrame) -> DataFrame:
+    """One row for each id whose labels do not contradict each other."""
+    return usable.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("id", "label")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, text, label)`` of all labelled documents.
+
+    Held-out and null ids, null labels and ids with contradicting labels are
+    left out.
+    """
+    usable = _usable(labels, label, id_col)
+    known = _agreed(usable)
+    return _texts(docs, id_col, text_col).join(F.broadcast(known) if usable.count() <= FEW else known, "id").select("id", "text", "label")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text, label)`` of at most ``max_rows`` labelled ids, the same on every run.
 
@@ -40,12 +68,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     and ids with contradicting labels are left out. The ids taken are bounded
     by ``max_rows``, so they alone are broadcast; the texts are not shuffled.
     """
-    value = F.col(label).cast("int")
-    usable = labels.select(F.col(id_col).cast("long").alias("id"), value.alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id", 4))
+    usable = _usable(labels, label, id_col)
     total = usable.count()
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     likely = usable.where(share < min(1.0, (2.0 * max_rows + 1000.0) / max(total, 1)))
-    agreed = likely.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
-    taken = agreed.orderBy(F.xxhash64("id"), "id").limit(max_rows).select("id", "label")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(taken), "id").select("id", "text", "label")
+    taken = _agreed(likely).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    return _texts(docs, id_col, text_col).join(F.broadcast(taken), "id").select("id", "text", "label")

@@ -3,11 +3,13 @@
 import math
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
 
 from spindrift.llm import langid, lattice, quality, toxicity
+from spindrift.llm.sampling import labelled
 
 SF = "/root/testdata/sf0.1"
 
@@ -208,6 +210,32 @@ def test_ranking_orders_pairs():
     assert ((s >= quality.THRESHOLD) == label).mean() > 0.95
 
 
+def test_every_pair_counts(spark):
+    rng = np.random.default_rng(11)
+    z = rng.normal(size=(90, 6)) * [1, 2, 1, 0.5, 3, 1]
+    label = (z[:, 0] - z[:, 1] + rng.normal(size=90) > 0.7).astype(int)
+    gap = (z[label == 1][:, None] - z[label == 0][None, :]).reshape(-1, 6)
+    for ridge in (quality.RIDGE, 0.1):
+        found = quality.all_pairs(lambda step: reduce(quality.added, [step(z[k : k + 40], label[k : k + 40]) for k in (0, 40, 80)]), 6, ridge)
+        assert np.abs(found - quality.preferences(gap, ridge)).max() < 1e-4
+    x = rng.normal(size=(300, len(quality.FEATURES) + quality.BUCKETS))
+    label = (x[:, 0] + rng.normal(size=300) > 0.5).astype(int)
+    model = quality.PairwiseRanker(x, label)
+    kept = quality.PairwiseRanker.of_table(spark.createDataFrame([(int(k), v.tobytes()) for k, v in zip(label, x, strict=True)], "label int, x binary").repartition(5))
+    assert np.allclose(model.weights, kept.weights, atol=1e-5) and abs(model.threshold - kept.threshold) < 1e-4 and model.quantile == kept.quantile
+
+
+@pytest.mark.parametrize("taken", [0, quality.TAKEN])
+def test_quality_learns_from_every_label(spark, taken):
+    # more labels than the sample of 6000 that was learned from before
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('w', id, if(id % 2 = 0, ' fine words', ' POOR !!')) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as quality")
+    rows = labelled(docs, labels, "quality")
+    assert rows.count() == sum(not held(k, 4) for k in range(9000)) > 6000
+    model = quality.fit(docs, labels, taken)
+    assert model.score(np.array([quality.features(t) for t in (b"w1 fine words", b"w1 POOR !!")])).round().tolist() == [1, 0]
+
+
 def test_misspellings_share_vectors():
     rng = np.random.default_rng(1)
     plain = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(300)]
