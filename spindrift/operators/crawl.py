@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,11 +27,15 @@ class CrawlJob:
 
 @dataclass
 class CrawlState:
-    """Where a crawl stands: visited pages, and the frontier in its order."""
+    """Where a crawl stands: visited pages, and the frontier in its order.
+
+    Both are lists, or tables ``(url)`` of any size; a frontier's table may
+    have its order as ``place``.
+    """
 
     downloaded_count: int = 0
-    visited: list[str] = field(default_factory=list)
-    queue_items: list[str] = field(default_factory=list)
+    visited: list[str] | DataFrame = field(default_factory=list)
+    queue_items: list[str] | DataFrame = field(default_factory=list)
 
 
 def page_links(pages: DataFrame, pattern: str, base: str | None = None) -> DataFrame:
@@ -81,8 +85,8 @@ def crawl(pages: DataFrame, job: CrawlJob, state: CrawlState | None = None, leve
     spark = pages.sparkSession
     state = state or CrawlState(queue_items=[job.root_url])
     base = job.root_url if job.country == "Slovakia" else _site(job.root_url)
-    roots = spark.createDataFrame([(u,) for u in state.queue_items], "url string")
-    visited = spark.createDataFrame([(u,) for u in state.visited], "url string") if state.visited else None
+    roots = _url_table(spark, state.queue_items).select("url")
+    visited = None if state.visited == [] else _url_table(spark, state.visited).select("url")
     one = pages.select("url", "html").dropDuplicates(["url"])
     fits = urls.starts_like(urls.resolve(F.lit(base), F.col("url")), job.property_url_regex_full)
     shown = urls.is_interesting(F.col("html"), job.validation_pattern) if job.validation_pattern else F.lit(False)
@@ -108,6 +112,13 @@ def crawl(pages: DataFrame, job: CrawlJob, state: CrawlState | None = None, leve
     return checked.select("url", "depth", "html", F.col("fits").alias("saved"))
 
 
+def _url_table(spark: SparkSession, urls_of: list[str] | DataFrame) -> DataFrame:
+    """``(url, place)`` of a list or a table of URLs."""
+    if isinstance(urls_of, DataFrame):
+        return urls_of if "place" in urls_of.columns else urls_of.select("url", F.monotonically_increasing_id().alias("place"))
+    return spark.createDataFrame([(u, k) for k, u in enumerate(urls_of)], "url string, place long")
+
+
 def _site(url: str) -> str:
     from urllib.parse import urlparse
 
@@ -152,9 +163,7 @@ def tried(ledger: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def state_json(spark: SparkSession, job: CrawlJob, state: CrawlState) -> DataFrame:
-    """A state as one row of JSON."""
-    from dataclasses import asdict
-
+    """A state of lists as one row of JSON."""
     from spindrift.schemas import CRAWL_STATE
 
     row = (asdict(job), state.downloaded_count, state.visited, state.queue_items)
@@ -167,3 +176,25 @@ def state_from_json(rows: DataFrame) -> tuple[CrawlJob, CrawlState]:
     row = rows.select(F.from_json("value", CRAWL_STATE).alias("s")).select("s.*").first()
     job = {k: v for k, v in row["scrape_param"].asDict().items() if v is not None}
     return CrawlJob(**job), CrawlState(row["downloaded_count"], list(row["visited"]), list(row["queue_items"]))
+
+
+def state_lines(spark: SparkSession, job: CrawlJob, state: CrawlState) -> DataFrame:
+    """A state of any size as rows: one of the job and its count, and one for each URL."""
+    from spindrift.schemas import CRAWL_STATE
+
+    head = spark.createDataFrame([(asdict(job), state.downloaded_count, None, None)], CRAWL_STATE).select("scrape_param", "downloaded_count")
+    for seen, listed in ((True, state.visited), (False, state.queue_items)):
+        head = head.unionByName(_url_table(spark, listed).select("url", F.lit(seen).alias("seen"), "place"), allowMissingColumns=True)
+    return head
+
+
+def state_from_lines(rows: DataFrame) -> tuple[CrawlJob, CrawlState]:
+    """The job, and its state as tables ``(url, place)``, of lines or of a state in one line."""
+    head = rows.where("scrape_param is not null").select("scrape_param", "downloaded_count").first()
+    job = {k: v for k, v in head["scrape_param"].asDict().items() if v is not None}
+
+    def listed(seen: bool, array: str) -> DataFrame:
+        own = rows.where(F.col("seen") == seen).select("url", "place")
+        return own.unionByName(rows.select(F.posexplode(array).alias("place", "url")).select("url", F.col("place").cast("long").alias("place")))
+
+    return CrawlJob(**job), CrawlState(head["downloaded_count"], listed(True, "visited"), listed(False, "queue_items"))

@@ -571,13 +571,13 @@ def parquet_files(spark, sf_dir):
 def state_files(spark, sf_dir):
     """The state of a crawl through its file."""
     path = scratch(spark, "state")
-    urls_of = [r["url"] for r in inputs.link_pages(spark, sf_dir).select("url").collect()]
-    seen = [u for u in urls_of if int(u.rsplit("p", 1)[1]) % 3 == 0]
+    pages = inputs.link_pages(spark, sf_dir).select("url")
+    seen = F.substring_index("url", "p", -1).cast("long") % 3 == 0
     job = crawl.CrawlJob("https://www.example.at/p1", "Austria", HREF)
-    state = crawl.CrawlState(3, seen, [u for u in urls_of if u not in set(seen)])
-    io.replace_text(crawl.state_json(spark, job, state), path)
-    _, again = crawl.state_from_json(io.read_crawl_state(spark, path))
-    return spark.createDataFrame([(u, True) for u in again.visited] + [(u, False) for u in again.queue_items], "url string, visited boolean")
+    state = crawl.CrawlState(3, pages.where(seen), pages.where(~seen))
+    io.write_state_lines(crawl.state_lines(spark, job, state), path)
+    _, again = crawl.state_from_lines(io.read_state_lines(spark, path))
+    return again.visited.select("url", F.lit(True).alias("visited")).unionByName(again.queue_items.select("url", F.lit(False).alias("visited")))
 
 
 @query("SELECT page_id AS seq, url FROM (SELECT row_number() OVER (ORDER BY page_id) - 1 AS page_id, url FROM pages)")

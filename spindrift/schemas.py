@@ -53,6 +53,8 @@ CRAWL_STATE = T.StructType(
         T.StructField("queue_items", T.ArrayType(T.StringType())),
     ]
 )
+#: A state in lines: one of the job and its count, and one for each URL. A state in one line fits as well.
+CRAWL_STATE_LINES = T.StructType([*CRAWL_STATE, T.StructField("url", T.StringType()), T.StructField("seen", T.BooleanType()), T.StructField("place", T.LongType())])
 LEDGER = T.StructType(
     [
         T.StructField("property_url", T.StringType()),

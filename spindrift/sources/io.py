@@ -101,6 +101,17 @@ def read_crawl_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(found, wholetext=True) if found else spark.createDataFrame([], "value string")
 
 
+def write_state_lines(rows: DataFrame, path: str) -> None:
+    """Put a state in the place of the one at ``path``, as lines of JSON in part files."""
+    _replace(rows, path, lambda out, to: out.json(to))
+
+
+def read_state_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the last state that was written whole, also of a state in one line; none if there is no such state."""
+    found = _current(spark, path)
+    return spark.read.schema(schemas.CRAWL_STATE_LINES).json(found) if found else spark.createDataFrame([], schemas.CRAWL_STATE_LINES)
+
+
 def write_tsv(rows: DataFrame, path: str, single_file: bool = False) -> None:
     """A table with a header; one file only if asked for.
 

@@ -131,3 +131,29 @@ def test_stream_of_pages(spark, tmp_path):
 def test_preview_cuts_texts(spark):
     rows = extract_listings(spark.createDataFrame([("p", "<title>" + "a" * 900 + "</title>")], "path string, html string"))
     assert len(io.preview(rows)[0]["title"]) == 500
+
+
+def test_states_as_tables(spark, tmp_path):
+    path = str(tmp_path / "state")
+    job, small = crawl.CrawlJob("r", "Austria", "x", max_saves=7), crawl.CrawlState(2, ["a"], ["c", "b"])
+    assert io.read_state_lines(spark, path).count() == 0
+    for k, rows in enumerate((crawl.state_lines(spark, job, small), crawl.state_json(spark, job, small))):  # in lines, and in one line
+        io.write_state_lines(rows, path) if k == 0 else io.replace_text(rows, path)
+        own, state = crawl.state_from_lines(io.read_state_lines(spark, path))
+        assert own == job and state.downloaded_count == 2 and [r["url"] for r in state.visited.collect()] == ["a"]
+        assert [r["url"] for r in state.queue_items.orderBy("place").collect()] == ["c", "b"]
+    urls = spark.range(50_000).selectExpr("concat('https://x/p', id) as url")
+    io.write_state_lines(crawl.state_lines(spark, job, crawl.CrawlState(0, urls.where("url like '%7'"), urls)), path)
+    assert len(list((tmp_path / "state").glob("part-*"))) > 1  # written and read by tasks, not by the driver
+    state = crawl.state_from_lines(io.read_state_lines(spark, path))[1]
+    assert state.visited.count() == 5000 and state.queue_items.exceptAll(crawl._url_table(spark, urls)).isEmpty()
+
+
+def test_a_crawl_goes_on_from_tables(spark):
+    pages = spark.createDataFrame([(f"https://x.at/p{k}", f'<a href="/p{k + 1}">n</a>') for k in range(6)], "url string, html string")
+    job = crawl.CrawlJob("https://x.at/p0", "Austria", r'href="(/p\d+)"')
+    lists = crawl.CrawlState(0, ["https://x.at/p4"], ["https://x.at/p1"])
+    table = lambda urls: spark.createDataFrame([(u,) for u in urls], "url string")
+    save = lambda df: df.localCheckpoint()
+    found = [sorted(r["url"] for r in crawl.crawl(pages, job, s, save=save).collect()) for s in (lists, crawl.CrawlState(0, table(lists.visited), table(lists.queue_items)))]
+    assert found[0] == found[1] and "https://x.at/p1" in found[0] and "https://x.at/p4" not in found[0]
